@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import table
+from . import bpe, decontam, langid, pii
+from .common import crc_remainder, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -18,5 +18,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_tokens=False)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.Model.fit(docs.where(crc_remainder(docs["doc_id"], 4) != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (crc_remainder(found["doc_id"], 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.search(docs, table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_pii": op4_pii, "op7_language_id": op7_language_id, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
