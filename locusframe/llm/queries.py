@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, pii
+from . import bpe, decontam, fingerprint, langid, pii, sharding, urlfilter
 from .common import crc_remainder, table
 
 
@@ -18,11 +18,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_tokens=False)
 
 
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 24)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.fit(docs))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.Model.fit(docs.where(crc_remainder(docs["doc_id"], 4) != 2))
@@ -30,10 +38,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_remainder(found["doc_id"], 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+#: The rules of the report.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.search(docs, table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_pii": op4_pii, "op7_language_id": op7_language_id, "op10_decontaminate": op10_decontaminate}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_shard": op2_shard,
+    "op4_pii": op4_pii,
+    "op5_fingerprint": op5_fingerprint,
+    "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
+    "op10_decontaminate": op10_decontaminate,
+}
 ORACLES: dict[str, str] = {}
