@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, langid, pii, sharding, urlfilter
+from . import bpe, decontam, fingerprint, jaccard, langid, pii, sharding, urlfilter
 from .common import crc_remainder, table
 
 
@@ -46,6 +46,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.search(docs, table(spark, sf_dir, "benchmark")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_fingerprint": op5_fingerprint,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
