@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, jaccard, langid, pii, sharding, urlfilter
+from . import bpe, decontam, fingerprint, jaccard, langid, pii, sharding, toxicity, urlfilter
 from .common import crc_remainder, table
 
 
@@ -31,6 +31,13 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.where(crc_remainder(labels["doc_id"], 5) != 0))
+    found = toxicity.score(docs, net)
+    return found.select("doc_id", (crc_remainder(found["doc_id"], 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.Model.fit(docs.where(crc_remainder(docs["doc_id"], 4) != 2))
@@ -60,6 +67,7 @@ QUERIES = {
     "op2_shard": op2_shard,
     "op4_pii": op4_pii,
     "op5_fingerprint": op5_fingerprint,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
