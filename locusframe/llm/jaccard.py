@@ -1,18 +1,20 @@
 """N-gram Jaccard join: exact components of documents whose shingle sets are nearly equal.
 
-Jaccard distance is a metric, but texts that share nothing are all at distance 1 from each other and from
-every pivot, so pivots drawn from the whole corpus separate nothing (the README has figures). The join
-therefore starts from pivots in coordinates that do separate: a set of size n is split by hash into m parts,
-m being more than the number of shingles in which a linked pair can differ, so that a linked pair is at
-distance 0 in some part. Each part's content is a pivot and the documents at distance 0 from it are its first
-region; documents near the end of a size band are replicated into the next band.
-
-Within regions the join is the metric one, recursively: some members become pivots, all members' exact
-distances to them are computed, each member goes to its nearest pivot's Voronoi region, and by the triangle
-inequality also to those where a link may lie: d(x, q) <= d(x, p) + 2 eps and d(x, q) <= radius(q) + eps.
-Pairs with a pivot are settled by then, so pivots leave; regions whose members are already connected
-need nothing more. The number of pivots doubles from round to round until no region is left. Equal sets
-count as one, and no step gathers a region in one task.
+Texts that share nothing are all at Jaccard distance 1 from each other and from every pivot, so pivots drawn
+from the whole corpus separate nothing (the README has figures). The join therefore starts from pivots
+in coordinates that do separate: a set of size n is split by hash into m parts, m being more than the number
+of shingles in which a linked pair can differ, so that a linked pair is at distance 0 in some part. Each
+part's content is a pivot, the documents at distance 0 from it are its first region, and documents near
+the end of a size band are replicated into the next band. Regions with the same members count once.
+
+Within regions the join is metric. Links to one pivot of each region come first; regions whose members
+they connect are done. In the others, members go to the Voronoi region of their nearest pivot and, by the
+triangle inequality, to those of other pivots q where a link may lie: d(x, q) <= d(x, home) + 2 k and
+d(x, q) <= radius(q) + k. Regions join recursively until they are small or no longer shrink. The distance
+there is the Hamming distance of parity sketches, a metric that never exceeds the number of shingles in which two
+sets differ, with k the most that a linked pair may differ; what it lets through is compared by the
+sets themselves. Large regions are split by the same rule across tasks, and by pairs of blocks where
+the rule separates nothing. Equal sets count as one throughout.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ NUM, DEN = 90, 100
 #: Ratio between the ends of a size band, and bits of the broadcast filters (their size bound; beyond it they only let more through).
 BAND = 1.5
 FILTER_BITS = 1 << 26
+#: 64-bit words of a parity sketch, members of a region that one task joins, pivots of a region, and members that are compared directly.
+SKETCH = 32
+TASK_MEMBERS = 2048
+PIVOTS = 8
+DIRECT = 128
 _U = np.uint64
 _SEP = np.ones(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -170,8 +177,16 @@ def regions(docs: DataFrame, bands: Bands, only=None) -> DataFrame:
     return docs.mapInArrow(run, "sig long, c long")
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Sketch of a set: each shingle flips one of SKETCH * 64 bits."""
+    slot = mix64(s ^ _U(0x2545F4914F6CDD1D))
+    out = np.zeros(SKETCH, _U)
+    np.bitwise_xor.at(out, (slot % _U(SKETCH)).astype(np.int64), _U(1) << (slot >> _U(58)))
+    return out.astype(np.int64)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """(c, n, s) of the wanted sets (c, id), read from the document that stands for each."""
+    """(c, n, s, k) of the wanted sets (c, id), their shingles and sketches, read from the document that stands for each."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted.select(F.col("c").bitwiseXOR(F.col("id")).alias("k")), "k", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +195,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
                 sets = list(shingle_sets(part.column(1)))
                 ids, c = part.column(0).to_numpy(), np.array([set_id(s) for s in sets], np.int64)
                 at = np.flatnonzero(shared.value.has(c ^ ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(c[at]), pa.array([sets[i].astype(np.int64) for i in at], pa.list_(pa.int64()))], names=["id", "c", "s"])
+                long = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(c[at]), pa.array([sets[i].astype(np.int64) for i in at], long), pa.array([parity(sets[i]) for i in at], long)], names=["id", "c", "s", "k"])
 
-    found = docs.mapInArrow(run, "id long, c long, s array<long>")
-    return found.join(wanted, ["c", "id"], "left_semi").groupBy("c").agg(F.first("s").alias("s"))
+    found = docs.mapInArrow(run, "id long, c long, s array<long>, k array<long>")
+    return found.join(wanted, ["c", "id"], "left_semi").groupBy("c").agg(F.first("s").alias("s"), F.first("k").alias("k")).withColumn("n", F.size("s").cast("long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,42 +222,156 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small)
 
 
-def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links (a, b) that connect all that is connected, and components (c, root), by the recursive metric join over members (region, c)."""
-    eps = 1 - num / den
-    known: DataFrame | None = None
-    comps: DataFrame | None = None
-    pivots_each = 1
-    while True:
-        order = Window.partitionBy("region").orderBy(F.xxhash64("c", F.lit(pivots_each)), "c")
-        pivots = members.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots_each).select("region", F.col("c").alias("p"))
-        met = members.join(pivots, "region")
-        pairs = met.where("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        with_a = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-        both = with_a.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-        counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-        new = cut(counted.select("a", "b", (F.lit(den) * F.col("i") >= F.lit(num) * (F.col("t") - F.col("i"))).alias("link"), (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d")))
-        known = new if known is None else cut(known.union(new))
-        comps = components(known.where("link").select("a", "b"))
-        # Distances of members to their region's pivots, their nearest pivots, and the regions' radii.
-        away = met.withColumns({"a": F.least("c", "p"), "b": F.greatest("c", "p")}).join(known, ["a", "b"], "left").select("region", "c", "p", F.coalesce("d", F.lit(0.0)).alias("d"))
-        gone = pivots.select("region", F.col("p").alias("c"))
-        rest = away.join(gone, ["region", "c"], "left_anti")
-        nearest = rest.groupBy("region", "c").agg(F.min(F.struct("d", "p")).alias("h"))
-        natives = nearest.select("region", "c", F.col("h.p").alias("p"), F.col("h.d").alias("home"))
-        radius = natives.groupBy("region", "p").agg(F.max("home").alias("radius"))
-        slack = 1e-9
-        near_by = rest.join(natives.select("region", "c", "home"), ["region", "c"]).join(radius, ["region", "p"])
-        inside = near_by.where((F.col("d") <= F.col("home") + 2 * eps + slack) & (F.col("d") <= F.col("radius") + eps + slack))
-        parts = inside.select(F.xxhash64("region", "p").alias("region"), "c").distinct()
-        rooted = parts.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of two arrays of sketches."""
+    out = np.empty((len(a), len(b)), np.int64)
+    for at in range(0, len(a), 32):
+        out[at : at + 32] = np.bitwise_count(a[at : at + 32, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+    return out
+
+
+def near_pairs(k: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance), i < j, of all members whose sketches (uint64) allow a link: the recursive Voronoi join."""
+
+    def direct(left: np.ndarray, right: np.ndarray) -> None:
+        d = distances(k[left], k[right])
+        i, j = np.nonzero(d * (den + num) <= (n[left][:, None] + n[right][None, :]) * (den - num))
+        pairs.append(np.stack([left[i], right[j], d[i, j]]))
+
+    def split(members: np.ndarray, native: np.ndarray) -> None:
+        """All near pairs of a native and any other member."""
+        if len(members) <= DIRECT:
+            direct(native, members)
+            return
+        pivots = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
+        d = distances(k[members], k[pivots])
+        most = int(2 * n[members].max() * (den - num) // (den + num))
+        home = d.argmin(1)
+        at_home = d[np.arange(len(members)), home]
+        is_native = np.isin(members, native)
+        for q in range(PIVOTS):
+            own = (home == q) & is_native
+            if own.any():
+                inside = (d[:, q] <= at_home + 2 * most) & (d[:, q] <= at_home[own].max() + most)
+                if inside.sum() <= 0.7 * len(members):
+                    split(members[inside], members[own])
+                else:
+                    direct(members[own], members[inside])
+
+    pairs: list[np.ndarray] = []
+    everyone = np.arange(len(n))
+    split(everyone, everyone)
+    found = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+    found = found[:, found[0] != found[1]]
+    i, j = np.minimum(found[0], found[1]), np.maximum(found[0], found[1])
+    _, one = np.unique(i * len(n) + j, return_index=True)
+    return i[one], j[one], found[2][one]
+
+
+def forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Places of the pairs, nearest first, that connect members not yet connected (root: component of each)."""
+    parent = {r: r for r in root.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for e in np.argsort(d, kind="stable").tolist():
+        a, b = find(int(root[i[e]])), find(int(root[j[e]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append(e)
+    return np.array(out, np.int64)
+
+
+def candidates(regions_: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """(region, a, b): pairs of members (region, c, root, n, k) that the sketches allow, of different components: a forest of the nearest, or all."""
+
+    def join_region(t: pa.Table) -> pa.Table:
+        c, root, n = (t[x].to_numpy() for x in ("c", "root", "n"))
+        k = t["k"].combine_chunks().flatten().to_numpy().reshape(len(c), SKETCH).view(np.uint64)
+        i, j, d = near_pairs(k, n, num, den)
+        apart = root[i] != root[j]
+        i, j, d = i[apart], j[apart], d[apart]
+        at = np.arange(len(i)) if every else forest(i, j, d, root)
+        a, b = c[i[at]], c[j[at]]
+        return pa.table({"region": np.full(len(at), t["region"][0].as_py(), np.int64), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return regions_.select("region", "c", "root", "n", "k").groupBy("region").applyInArrow(join_region, "region long, a long, b long")
+
+
+def split_large(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Members (region, c) dealt so that no region has more than about TASK_MEMBERS: Voronoi regions first, pairs of blocks where they don't shrink."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
+    for again in range(3):
+        large = cut(sizes.where(F.col("size") > TASK_MEMBERS))
+        if large.isEmpty():
+            return members
+        small, big = members.join(large, "region", "left_anti").select("region", "c"), members.join(large, "region").select("region", "c", "size")
+        if again == 2:
+            count = F.ceil(2 * F.col("size") / TASK_MEMBERS).cast("int")
+            dealt = big.withColumn("i", F.pmod(F.xxhash64("c"), count).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
+            return small.union(dealt.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j"), F.lit("b")).alias("region"), "c"))
+        order = Window.partitionBy("region").orderBy(F.xxhash64("c", F.lit(again)), "c")
+        pivots = big.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).join(sketches.select("c", F.col("k").alias("kp")), "c").select("region", F.col("c").alias("p"), "kp")
+        away = big.join(sketches.select("c", "k", "n"), "c").join(pivots, "region").select("region", "c", "p", "n", _hamming("k", "kp").alias("d"))
+        homes = away.groupBy("region", "c").agg(F.min(F.struct("d", "p")).alias("h"), F.max("n").alias("n")).select("region", "c", F.col("h.p").alias("p"), F.col("h.d").alias("home"), "n")
+        most = F.floor(2 * F.max("n") * (den - num) / (den + num))
+        limits = homes.groupBy("region").agg(most.alias("most"))
+        radius = homes.groupBy("region", "p").agg(F.max("home").alias("radius"))
+        inside = away.select("region", "c", "p", "d").join(homes.select("region", "c", "home"), ["region", "c"]).join(radius, ["region", "p"]).join(limits, "region")
+        dealt = inside.where((F.col("d") <= F.col("home") + 2 * F.col("most")) & (F.col("d") <= F.col("radius") + F.col("most")))
+        members = cut(small.union(dealt.select(F.xxhash64("region", "p").alias("region"), "c")))
+        sizes = members.groupBy("region").agg(F.count("*").alias("size"))
+    return members
+
+
+def _hamming(a: str, b: str):
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (u, v) -> u + v)")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, link) of distinct pairs: by the sketches where they rule a link out, else by the sets."""
+    a, b = (sets.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").where(_hamming("ka", "kb") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    full = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    counted = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
+    return counted.select("a", "b", (F.lit(den) * F.col("i") >= F.lit(num) * (F.col("t") - F.col("i"))).alias("link"))
+
+
+def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (c, root) of the members (region, c): every pair that links shares a region."""
+    alike = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x"), F.min("c").alias("p"))
+    once = cut(alike.groupBy("n", "s", "x").agg(F.min("region").alias("region"), F.min("p").alias("p")).select("region", "p"))
+    met = cut(members.join(once, "region"))
+    stars = met.where("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+    found = cut(verify(stars, sets, num, den).where("link").select("a", "b"))
+    comps = components(found)
+    members = None
+    for every in (False, True):
+        rooted = (met.select("region", "c") if members is None else members).join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
         open_ = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
-        members = cut(parts.join(open_, "region", "left_semi"))
+        part = cut(rooted.join(open_, "region", "left_semi").select("region", "c"))
+        if members is None:
+            part = split_large(part, sets, num, den)
+        full = part.join(comps, "c", "left").join(sets.select("c", "n", "k"), "c").select("region", "c", F.coalesce("root", "c").alias("root"), "n", "k")
+        cands = cut(candidates(full, num, den, every))
+        checked = cut(verify(cands.select("a", "b").distinct(), sets, num, den))
+        new = checked.where("link").select("a", "b")
+        if not new.isEmpty():
+            found = cut(found.union(new).distinct())
+            comps = components(found)
+        if every:
+            break
+        # A region whose forest holds is connected as far as it can be; only the others need all their pairs.
+        failed = cands.join(checked.where("link"), ["a", "b"], "left_anti").select("region").distinct()
+        members = cut(part.join(failed, "region", "left_semi"))
         if members.isEmpty():
-            return known.where("link").select("a", "b"), comps
-        pivots_each = min(2 * pivots_each, 256)
+            break
+    return comps
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +389,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int =
         return all_rows, reps.withColumn("component", F.col("rep"))
     wanted = cut(reps.join(members.select("c").distinct(), "c").select("c", F.col("rep").alias("id")))
     sets = cut(sets_of(rows, wanted, bits))
-    _, comps = links(sets, members, num, den)
+    comps = links(sets, members, num, den)
     rooted = reps.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     return all_rows, rooted.join(least, "root").select("c", "rep", "component")
