@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, jaccard, langid, pii, sharding, toxicity, urlfilter
+from . import bpe, decontam, fingerprint, jaccard, langid, pii, quality, sharding, toxicity, urlfilter
 from .common import crc_remainder, table
 
 
@@ -22,6 +22,11 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return quality.classify(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.fit(docs))
@@ -65,6 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_shard": op2_shard,
+    "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op5_fingerprint": op5_fingerprint,
     "op6_toxicity": op6_toxicity,
