@@ -1,4 +1,8 @@
 """Registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import reads, search
+
+QUERIES: dict = {**search.QUERIES, **reads.QUERIES}
+ORACLES: dict = {**search.ORACLES, **reads.ORACLES}
