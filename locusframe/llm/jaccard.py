@@ -34,10 +34,12 @@ NUM, DEN = 90, 100
 #: Ratio between the ends of a size band, and bits of the broadcast filters (their size bound; beyond it they only let more through).
 BAND = 1.5
 FILTER_BITS = 1 << 26
-#: 64-bit words of a parity sketch, members of a region that one task joins, pivots of a region, and members that are compared directly.
+#: 64-bit words of a parity sketch, members of a region that one task joins, pivots of a region, pairs whose sets' ids may be broadcast,
+#: and members that are compared directly.
 SKETCH = 32
 TASK_MEMBERS = 2048
 PIVOTS = 8
+BROADCAST_PAIRS = 200_000
 DIRECT = 128
 _U = np.uint64
 _SEP = np.ones(256, bool)
@@ -336,7 +338,10 @@ def _hamming(a: str, b: str):
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, link) of distinct pairs: by the sketches where they rule a link out, else by the sets."""
     a, b = (sets.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").where(_hamming("ka", "kb") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    near = cut(pairs.join(a, "a").join(b, "b").where(_hamming("ka", "kb") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b"))
+    if near.count() <= BROADCAST_PAIRS:  # so few sets are needed that the others need not be shuffled
+        needed = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        sets = cut(sets.join(F.broadcast(needed), "c", "left_semi"))
     full = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     counted = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
     return counted.select("a", "b", (F.lit(den) * F.col("i") >= F.lit(num) * (F.col("t") - F.col("i"))).alias("link"))
