@@ -107,7 +107,8 @@ class Nodes:
             n = len(d)
             letters = any(c.isalpha() for c in t)
             out[row, [0, 1 + sum(n > x for x in (0, 3, 6, 9, 12, 13, 19))]] = 1
-            out[row, 9:] = ["@" in t, "@" in t and "." in t.rpartition("@")[2], t.count(".") == 3 and not letters, t.startswith("+"), letters, not letters and 13 < n < 20 and luhn(d), "(" in t or "-" in t]
+            out[row, 9:] = ["@" in t, "@" in t and "." in t.rpartition("@")[2], t.count(".") == 3 and not letters, t.startswith("+"), letters, not letters and 13 < n < 20 and luhn(d), "(" in t or "-" in t, 0]
+        out[:, 16] = MATCHED * (self.labels > 0)
         return out
 
     def skips(self) -> list[tuple[int, int]]:
@@ -133,7 +134,8 @@ class Nodes:
         return sorted(edges)
 
 
-SHAPES = 16
+#: Features of a token, and the scale of the last one, that a pattern matched: the larger, the less a shape alone counts.
+SHAPES, MATCHED = 17, 0.5
 
 
 class Field:

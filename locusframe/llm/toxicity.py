@@ -20,11 +20,12 @@ from .common import flat_text, mix64, span_hashes, words_of
 
 WINDOW, STRIDE = 32, 24
 #: Labelled documents of each class to learn from (those with the smallest hashes of the id), and characters of each.
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
-VOCAB, GRAMS = 8_000, 8_000
+SAMPLE, SAMPLE_CHARS = 1200, 6_000
+VOCAB, GRAMS = 8_000, 9_000
+TELLING = 5.0
 DIM, HIDDEN, ATTEND = 8, 8, 8
 SIZES = (3, 4, 5)
-EPOCHS, BATCH, RATE = 4, 128, 0.01
+EPOCHS, BATCH, RATE = 10, 64, 0.01
 #: Words of a batch, and windows that move in step (their states stay in the processor's cache).
 CHUNK_WORDS = 400_000
 STEP = 1024
@@ -50,10 +51,10 @@ class Texts:
         self.distinct, at, self.index = np.unique(self.words, return_index=True, return_inverse=True)
         self.a, self.z = self.starts[at], self.ends[at]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the distinct words' byte n-grams, those at the start marked, and the distinct word of each."""
         out, of = [], []
-        for size in SIZES:
+        for size in sizes:
             n = np.maximum(0, self.z - self.a - size + 1)
             word = np.repeat(np.arange(len(n)), n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -215,16 +216,17 @@ def window_ids(index: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
 
 
 def log_odds(items: np.ndarray, rows: np.ndarray, toxic: np.ndarray, most: int, least: int = 8) -> dict[int, float]:
-    """The most telling items and their log-odds, by the documents that have them, less two standard errors: what few documents have tells little."""
+    """The most telling items and their log-odds, by the documents that have them; only those whose share of toxic documents is TELLING deviations from chance."""
     names, index = np.unique(items, return_inverse=True)
     pairs = np.unique(index.astype(np.int64) * len(toxic) + rows)
     item, hit = pairs // len(toxic), toxic[pairs % len(toxic)]
     one, zero = np.bincount(item[hit], minlength=len(names)), np.bincount(item[~hit], minlength=len(names))
     raw = np.log((one + 0.5) / (toxic.sum() + 1)) - np.log((zero + 0.5) / ((~toxic).sum() + 1))
-    sure = np.maximum(0, np.abs(raw) - 2 * np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5)))
-    sure[one + zero < least] = 0
+    share = toxic.mean()
+    away = np.abs(one - share * (one + zero)) / np.sqrt(np.maximum(1, one + zero) * share * (1 - share) + 1e-9)
+    sure = np.where((away >= TELLING) & (one + zero >= least), np.abs(raw), 0)
     order = np.lexsort((names, -sure * np.sqrt(one + zero)))[:most]
-    return {int(names[i]): float(np.sign(raw[i]) * sure[i]) for i in order if sure[i] > 0.2}
+    return {int(names[i]): float(np.sign(raw[i]) * sure[i]) for i in order if sure[i] > 0}
 
 
 def one_of_each(texts: list[str], hashes: int = 4) -> list[int]:
@@ -250,13 +252,18 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Network:
     toxic = np.append(np.asarray(toxic, bool)[single], False)
     rows = np.repeat(np.arange(len(toxic)), np.diff(t.first))
     words = log_odds(t.words, rows, toxic, VOCAB)
-    h, of = t.grams()
-    by_word = np.argsort(t.index, kind="stable")  # documents of each distinct word, to count n-grams by document
-    begin = np.searchsorted(t.index[by_word], np.arange(len(t.distinct) + 1))
-    some = np.flatnonzero(np.isin(h, _frequent(h)))
-    n = np.diff(begin)[of[some]]
-    docs = rows[by_word[np.repeat(begin[of[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
-    grams = log_odds(np.repeat(h[some], n), docs, toxic, GRAMS)
+    met = np.unique(t.index.astype(np.int64) * len(toxic) + rows)  # distinct words of each document, to count n-grams by document
+    word, doc = (met // len(toxic)).astype(np.int32), (met % len(toxic)).astype(np.int32)
+    begin = np.searchsorted(word, np.arange(len(t.distinct) + 1)).astype(np.int32)
+    grams: dict[int, float] = {}
+    for size in SIZES:  # one after the other, for memory
+        h, of = t.grams((size,))
+        held = np.isin(h, _frequent(h))
+        h, of = h[held], of[held].astype(np.int32)
+        n = np.diff(begin)[of]
+        docs = doc[np.repeat(begin[of] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        grams |= log_odds(np.repeat(h, n), docs, toxic, GRAMS // len(SIZES))
+        del h, of, docs
     net = Network(np.array(list(words), _U), np.array(list(grams), _U), seed)
     nw = len(net.words.known)
     for known, odds, base in ((net.words.known, words, 0), (net.grams.known, grams, nw)):
