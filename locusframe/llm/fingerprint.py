@@ -32,7 +32,7 @@ def sketch(text: str, k: int = K, shingle: int = SHINGLE) -> Column:
 
 def hexed(sk: str) -> Column:
     """The fingerprint as a string: 16 hexadecimal digits a hash."""
-    return F.expr(f"lower(array_join(transform({sk}, x -> lpad(hex(x), 16, '0')), ''))")
+    return F.expr(f"lower(array_join(transform({sk}, __lf_v -> lpad(hex(__lf_v), 16, '0')), ''))")
 
 
 def _known(a: str, b: str, k: int) -> str:
@@ -42,7 +42,7 @@ def _known(a: str, b: str, k: int) -> str:
 
 
 def _below(a: str, b: str, what: str, k: int) -> str:
-    return f"size(filter({what}, x -> x <= {_known(a, b, k)}))"
+    return f"size(filter({what}, __lf_v -> __lf_v <= {_known(a, b, k)}))"
 
 
 def resemblance(a: str, b: str, k: int = K) -> Column:

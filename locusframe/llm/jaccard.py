@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, cut, flat_text, mix64, span_hashes, words_of
 
@@ -427,7 +428,8 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", num: in
                 sets = list(shingle_sets(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), part.column(2)], names=["id", "n", "c", "doc"])
 
-    tagged = packed.mapInArrow(run, f"id long, n long, c long, doc {packed.schema['doc'].dataType.simpleString()}")
+    schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("id", "n", "c")), packed.schema["doc"]])
+    tagged = packed.mapInArrow(run, schema)
     out = tagged.join(first.withColumn("stays", F.lit(True)), ["c", "id"], "left").where("n = 0 OR stays")
     if twice:
         out = out.where("n = 0").select("doc").unionByName(out.where("n > 0").groupBy("c").agg(F.first("doc").alias("doc")).select("doc"))

@@ -220,7 +220,9 @@ class Field:
 def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Field:
     """Learn from at most rows texts of docs with an at sign or a number, those whose hash is smallest, each up to 20,000 characters."""
     some = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9]{6}|@|[0-9][.][0-9]")).select(F.substring("t", 1, 20_000).alias("t")).withColumn("h", F.xxhash64("t"))
-    return Field.fit([r["t"] for r in some.orderBy("h", "t").limit(rows).collect()])
+    least = [r["h"] for r in some.select("h").orderBy("h").limit(rows).collect()]
+    chosen = some.where(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min("t").alias("t"))  # the hashes first, so that no task sends texts that others beat
+    return Field.fit([r["t"] for r in sorted(chosen.collect(), key=lambda r: r["h"])])
 
 
 def _each(df: DataFrame, schema, f) -> DataFrame:
