@@ -114,10 +114,10 @@ KEY_BITS = {"snp": 2, "indel": 32}
 SIDECAR_BITS = {"snp": 10, "indel": 8}
 
 
-def route(x: str, is_indel: str, samples: int, ploidy: int, info_bits: int = 0, format_bits: int = 0) -> Column:
-    """dense where a bit for every haplotype is strictly cheaper than a key for each of x carriers, else var_key."""
+def route(x: str, is_indel: str, samples: int, ploidy: int, info_bits: int = 0, format_bits: int = 0, sidecar: bool = False) -> Column:
+    """dense where a bit for every haplotype is strictly cheaper than a key for each of x carriers, else var_key; with a sidecar if mutation codes are stored too."""
     kb = f"IF({is_indel}, {KEY_BITS['indel']}, {KEY_BITS['snp']})"
-    side = f"IF({is_indel}, {SIDECAR_BITS['indel']}, {SIDECAR_BITS['snp']})"
+    side = f"IF({is_indel}, {SIDECAR_BITS['indel']}, {SIDECAR_BITS['snp']})" if sidecar else "0"
     sparse = f"CAST({x} AS BIGINT) * (32 + {kb} + {side} + {info_bits} + {format_bits})"
     packed = f"(32 + {kb} + {samples * ploidy} + {side} + {info_bits} + {format_bits * samples})"
     return F.expr(f"IF({packed} < {sparse}, 'dense', 'var_key')")

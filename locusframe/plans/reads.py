@@ -89,7 +89,7 @@ def q14(spark, d):
 @query("q15_channels", f"WITH {CARRIED}, x AS (SELECT v_idx, count(*) AS x FROM calls GROUP BY v_idx) SELECT q, count(*) FILTER (x * 44 <= 244) AS var_key, count(*) FILTER (x * 44 > 244) AS dense FROM carried JOIN x USING (v_idx) GROUP BY q", "calls", "regions")
 def q15(spark, d):
     x = _plain_calls(spark, d).groupBy("v_idx").agg(F.count("*").alias("x"))
-    c = _carried(spark, d).join(x.withColumn("route", normalize.route("x", "false", 100, 2)), "v_idx")
+    c = _carried(spark, d).join(x.withColumn("route", normalize.route("x", "false", 100, 2, sidecar=True)), "v_idx")
     return c.groupBy("q").agg(F.count_if(F.col("route") == "var_key").alias("var_key"), F.count_if(F.col("route") == "dense").alias("dense"))
 
 
@@ -220,13 +220,13 @@ for _mode, _cond in (("pos", "v.v_start >= r.q_start AND v.v_start < r.q_end"),
 def o8(spark, d):
     s = load(spark, d, "samples").where("nation < 12").select("sample_id")
     x = load(spark, d, "calls").join(F.broadcast(s), "sample_id", "left_semi").groupBy("v_idx", "ilen").agg(F.count("*").alias("x"))
-    return x.select("v_idx", "x", normalize.route("x", "ilen <> 0", 50, 2).alias("route"))
+    return x.select("v_idx", "x", normalize.route("x", "ilen <> 0", 50, 2, sidecar=True).alias("route"))
 
 
 @query("n9_route", "SELECT v.v_idx, count(c.v_idx) AS x, CASE WHEN 32 + kb + 200 + side + 16 + 32 * 100 < count(c.v_idx) * (32 + kb + side + 16 + 32) THEN 'dense' ELSE 'var_key' END AS route FROM (SELECT v_idx, CASE WHEN ilen <> 0 THEN 32 ELSE 2 END AS kb, CASE WHEN ilen <> 0 THEN 8 ELSE 10 END AS side FROM variants) v LEFT JOIN calls c ON c.v_idx = v.v_idx GROUP BY v.v_idx, kb, side", "calls")
 def n9(spark, d):
     v = load(spark, d, "variants").select("v_idx", "ilen").join(_plain_calls(spark, d).groupBy("v_idx").agg(F.count("*").alias("x")), "v_idx", "left").fillna(0, ["x"])
-    return v.select("v_idx", "x", normalize.route("x", "ilen <> 0", 100, 2, info_bits=16, format_bits=32).alias("route"))
+    return v.select("v_idx", "x", normalize.route("x", "ilen <> 0", 100, 2, info_bits=16, format_bits=32, sidecar=True).alias("route"))
 
 
 @query("n1_split", "SELECT rec, i AS source_alt, alt[i] AS alt FROM (SELECT *, unnest(range(1, len(alt) + 1)) AS i FROM records)", "records")
