@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import sha256_hex
 
 #: Words kept per Python worker, and the longest text that is encoded without halving it.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 LEAF_CHARS = 16
 
 

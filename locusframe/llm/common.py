@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,17 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def parts(b: pa.RecordBatch, column: int, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and, but for single rows, about so many bytes of a text column: what a worker holds at once."""
+    bytes_ = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        limit = (bytes_[at - 1] if at else 0) + size
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(bytes_, limit, "right"))))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat_text, map_batches, mix64, span_hashes, words_of
+from .common import LOWER, flat_text, map_batches, mix64, parts, span_hashes, words_of
 
 WINDOW = 8
 SLOTS = 1 << 18
@@ -179,16 +179,15 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
         shared = docs.sparkSession.sparkContext.broadcast(Patterns(block, window))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            parts = []
-            for start in range(0, b.num_rows, 2000):
-                p = b.slice(start, 2000)
+            done = []
+            for p in parts(b, at):
                 n, runs, items = find(shared.value, p.column(at).cast(pa.string()))
                 before = [p.column(p.num_columns - 2).to_pylist(), p.column(p.num_columns - 1).to_pylist()]
                 items = [sorted(i | set(o)) if o else sorted(i) for i, o in zip(items, before[0], strict=True)]
                 runs = [union(r, o) if o else r for r, o in zip(runs, before[1], strict=True)]
                 columns = p.columns[:-5] + [pa.array(n, pa.int64()), pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32()))]
-                parts.append(pa.RecordBatch.from_arrays(columns, names=p.schema.names))
-            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                done.append(pa.RecordBatch.from_arrays(columns, names=p.schema.names))
+            return pa.Table.from_batches(done).combine_chunks().to_batches()[0]
 
         out = map_batches(out, run, out.schema)
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, flat_text, mix64, span_hashes, words_of
+from .common import LOWER, cut, flat_text, mix64, parts, span_hashes, words_of
 
 SHINGLE = 3
 #: Two sets link when NUM * |union| <= DEN * |intersection|.
@@ -139,11 +139,6 @@ class Filter:
         return (self.bits[slot // 64] >> (slot % 64).astype(_U)) & _U(1) == 1
 
 
-def _rows(b: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, size):
-        yield b.slice(at, size)
-
-
 def _id(key: str):
     """Ids as longs; a null is the largest."""
     return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
@@ -154,7 +149,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _rows(b):
+            for part in parts(b, 1):
                 sets = list(shingle_sets(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["id", "n", "c"])
 
@@ -166,7 +161,7 @@ def regions(docs: DataFrame, bands: Bands, only=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _rows(b):
+            for part in parts(b, 1):
                 sigs, ids, seen = [], [], set()
                 for s in shingle_sets(part.column(1)):
                     c = set_id(s)
@@ -194,7 +189,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _rows(b):
+            for part in parts(b, 1):
                 sets = list(shingle_sets(part.column(1)))
                 ids, c = part.column(0).to_numpy(), np.array([set_id(s) for s in sets], np.int64)
                 at = np.flatnonzero(shared.value.has(c ^ ids))
@@ -424,7 +419,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", num: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _rows(b):
+            for part in parts(b, 1):
                 sets = list(shingle_sets(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), part.column(2)], names=["id", "n", "c", "doc"])
 

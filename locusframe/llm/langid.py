@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text
+from .common import flat_text, parts
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -81,7 +81,7 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, 0)):
             langs = np.array(b.column(1).to_pylist(), object)
             for name in dict.fromkeys(langs):
                 rows = b.column(0).filter(pa.array(langs == name))
@@ -151,8 +151,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in parts(b, 1):
                 names, score = shared.value.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=[key, "lang_pred", "score"])
 
@@ -166,8 +165,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 1000):
-                part = b.slice(start, 1000)
+            for part in parts(b, at):
                 names, score = shared.value.score(part.column(at).cast(pa.string()))
                 yield part.filter(pa.array((np.array(names) != "und") & (score >= least)))
 

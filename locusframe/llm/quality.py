@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, cut, flat_text
+from .common import crc_remainder, cut, flat_text, parts
 from .jaccard import FILTER_BITS, Filter
 
 ORDER = 4
@@ -123,7 +123,7 @@ def model_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(shard_of(names).astype(np.int32)), pa.array(names), pa.array(total)], names=["lang", "shard", "gram", "n"])
             held.clear()
 
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, 1)):
             langs = np.array(b.column(0).to_pylist(), object)
             for lang in dict.fromkeys(langs):
                 rows = b.column(1).filter(pa.array(langs == lang))
