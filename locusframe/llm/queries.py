@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, jaccard, langid, pii, quality, sharding, toxicity, urlfilter
+from . import bpe, decontam, fingerprint, jaccard, langid, pii, quality, sharding, toxicity, twins, urlfilter
 from .common import crc_remainder, table
 
 
@@ -79,4 +79,8 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filter": twins.url_filter(URL_RULES, urlfilter.DEFAULT),
+    "op9_jaccard_join": twins.JACCARD_JOIN,
+    "op10_decontaminate": twins.DECONTAMINATE,
+}

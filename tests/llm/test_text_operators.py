@@ -532,3 +532,20 @@ def test_pipeline(spark, docs, tmp_path):
     ids = sorted((r["doc_id"] for r in step.collect()), key=str)
     assert collections.Counter(ids) == collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert 6 in ids and 7 not in ids and 11 not in ids and 0 not in ids
+
+
+@pytest.mark.parametrize("name", ["op8_url_filter", "op9_jaccard_join", "op10_decontaminate"])
+def test_query_equals_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from locusframe.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, data).select(*want.columns)
+    assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter(want.fetchall())
