@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, flat_text, mix64, parts, span_hashes, words_of
+from .common import LOWER, cut, flat_text, mix64, parts, release, span_hashes, words_of
 
 SHINGLE = 3
 #: Two sets link when NUM * |union| <= DEN * |intersection|.
@@ -352,6 +352,7 @@ def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     found = cut(verify(stars, sets, num, den).where("link").select("a", "b"))
     comps = components(found)
     members = None
+    release(sets.sparkSession)
     for every in (False, True):
         rooted = (met.select("region", "c") if members is None else members).join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
         open_ = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
@@ -360,6 +361,7 @@ def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
             part = split_large(part, sets, num, den)
         full = part.join(comps, "c", "left").join(sets.select("c", "n", "k"), "c").select("region", "c", F.coalesce("root", "c").alias("root"), "n", "k")
         cands = cut(candidates(full, num, den, every))
+        release(sets.sparkSession)
         checked = cut(verify(cands.select("a", "b").distinct(), sets, num, den))
         new = checked.where("link").select("a", "b")
         if not new.isEmpty():
@@ -384,12 +386,15 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int =
     sc = docs.sparkSession.sparkContext
     shared = regions(rows, bands).groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
     shared = cut(shared)
+    release(docs.sparkSession)
     only = sc.broadcast(Filter.of(shared, "sig", bits))
     members = cut(regions(rows, bands, only).join(shared, "sig", "left_semi").select(F.col("sig").alias("region"), "c").distinct())
     if members.isEmpty():
         return all_rows, reps.withColumn("component", F.col("rep"))
     wanted = cut(reps.join(members.select("c").distinct(), "c").select("c", F.col("rep").alias("id")))
+    release(docs.sparkSession)
     sets = cut(sets_of(rows, wanted, bits))
+    release(docs.sparkSession)
     comps = links(sets, members, num, den)
     rooted = reps.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
