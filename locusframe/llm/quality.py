@@ -27,7 +27,7 @@ ORDER = 4
 BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 20
 SHARDS = 32
 #: Blocks that one task of a shard scores; a shard of a larger language is dealt to several.
-TASK_BLOCKS = 128
+TASK_BLOCKS = 2048
 HELD_OUT = 5
 QUANTILE, MARGIN = 0.99, 1.25
 _FOLD: list[np.ndarray] = []
