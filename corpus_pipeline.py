@@ -17,9 +17,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of nearly equal documents the one with the smallest id stays."""
+    """Of each component of nearly equal documents (five-word shingles, Jaccard 0.8) the one with the smallest id stays."""
     ship(spark)
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(docs, num=80, den=100, k=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,26 +144,26 @@ def _id(key: str):
     return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(id, n, c) of each row of docs (id, text): its set's size and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in parts(b, 1):
-                sets = list(shingle_sets(part.column(1)))
+                sets = list(shingle_sets(part.column(1), k))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["id", "n", "c"])
 
     return docs.mapInArrow(run, "id long, n long, c long")
 
 
-def regions(docs: DataFrame, bands: Bands, only=None) -> DataFrame:
+def regions(docs: DataFrame, bands: Bands, only=None, k: int = SHINGLE) -> DataFrame:
     """(sig, c) for each set met in a batch and each of its first regions, if the broadcast filter only lets them through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in parts(b, 1):
                 sigs, ids, seen = [], [], set()
-                for s in shingle_sets(part.column(1)):
+                for s in shingle_sets(part.column(1), k):
                     c = set_id(s)
                     if c not in seen:
                         seen.add(c)
@@ -183,14 +183,14 @@ def parity(s: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
     """(c, n, s, k) of the wanted sets (c, id), their shingles and sketches, read from the document that stands for each."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted.select(F.col("c").bitwiseXOR(F.col("id")).alias("k")), "k", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in parts(b, 1):
-                sets = list(shingle_sets(part.column(1)))
+                sets = list(shingle_sets(part.column(1), k))
                 ids, c = part.column(0).to_numpy(), np.array([set_id(s) for s in sets], np.int64)
                 at = np.flatnonzero(shared.value.has(c ^ ids))
                 long = pa.list_(pa.int64())
@@ -377,23 +377,23 @@ def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     return comps
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, bits: int = FILTER_BITS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Rows (id, n, c) of all documents, and (c, rep, component) of all sets that have words."""
     rows = docs.select(_id(key).alias("id"), F.col(text).cast("string").alias("text"))
     bands = Bands(num, den)
-    all_rows = cut(describe(rows))
+    all_rows = cut(describe(rows, k))
     reps = all_rows.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"))
     sc = docs.sparkSession.sparkContext
-    shared = regions(rows, bands).groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
+    shared = regions(rows, bands, k=k).groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
     shared = cut(shared)
     release(docs.sparkSession)
     only = sc.broadcast(Filter.of(shared, "sig", bits))
-    members = cut(regions(rows, bands, only).join(shared, "sig", "left_semi").select(F.col("sig").alias("region"), "c").distinct())
+    members = cut(regions(rows, bands, only, k).join(shared, "sig", "left_semi").select(F.col("sig").alias("region"), "c").distinct())
     if members.isEmpty():
         return all_rows, reps.withColumn("component", F.col("rep"))
     wanted = cut(reps.join(members.select("c").distinct(), "c").select("c", F.col("rep").alias("id")))
     release(docs.sparkSession)
-    sets = cut(sets_of(rows, wanted, bits))
+    sets = cut(sets_of(rows, wanted, bits, k))
     release(docs.sparkSession)
     comps = links(sets, members, num, den)
     rooted = reps.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -401,22 +401,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int =
     return all_rows, rooted.join(least, "root").select("c", "rep", "component")
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, k: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id for every row: the smallest id that links reach from it.
 
-    Documents link when den * |intersection| >= num * |union| of their sets. Null and empty texts have no
+    Documents link when den * |intersection| >= num * |union| of their sets of k-word shingles. Null and empty texts have no
     shingles and are linked with nothing; rows may repeat; a null id counts as the largest. Sets are compared
     by 64-bit hashes of their shingles.
     """
-    rows, found = classes(docs, text, key, num, den)
+    rows, found = classes(docs, text, key, num, den, k=k)
     joined = rows.join(found.select("c", "component"), "c", "left")
     null = F.lit((1 << 63) - 1)
     return joined.select(F.when(F.col("id") < null, F.col("id")).alias(key), F.col("n").alias("n_shingles"), F.when(F.coalesce("component", "id") < null, F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN) -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, k: int = SHINGLE) -> DataFrame:
     """The rows of docs, with their columns, less all but one of each component; rows without words stay."""
-    rows, found = classes(docs, text, key, num, den)
+    rows, found = classes(docs, text, key, num, den, k=k)
     first = cut(found.where("rep = component").select("c", F.col("rep").alias("id")))
     twice = not rows.where("n > 0").join(first, ["c", "id"], "left_semi").groupBy("c").count().where("count > 1").isEmpty()
     columns = docs.columns
@@ -425,7 +425,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", num: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in parts(b, 1):
-                sets = list(shingle_sets(part.column(1)))
+                sets = list(shingle_sets(part.column(1), k))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), part.column(2)], names=["id", "n", "c", "doc"])
 
     schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("id", "n", "c")), packed.schema["doc"]])

@@ -447,6 +447,27 @@ def test_jaccard_chains_and_large_groups(spark, monkeypatch):
     assert as_counter(jaccard.join(frame)) == want
 
 
+def test_pipelines_near_duplicates(spark):
+    """The stage takes five words and 0.8: copies with text appended and chains of edits, against all pairs."""
+    r = np.random.default_rng(12)
+    texts_ = ["", "one two three", "one two three"]
+    for g in range(6):
+        words = prose(int(r.integers(30, 260)), 700 + g).split()
+        texts_ += [" ".join(words + prose(int(len(words) * share), 800 + 10 * g + k).split()) for k, share in enumerate((0, 0.14, 0.18, 0.22, 0.3))]
+        for _ in range(8):
+            words = edited(words, r, float(r.choice([0.01, 0.02, 0.03, 0.05])))
+            texts_.append(" ".join(words))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in (t.split() for t in texts_)]
+    near = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = [x["doc_id"] for x in corpus_pipeline.jaccard_join(spark, frame, "").collect()]
+    assert sorted(got) == [k for k in range(len(sets)) if root[k] == k]
+
+
 def test_linked_sets_share_a_region():
     bands = jaccard.Bands()
     r = np.random.default_rng(1)
