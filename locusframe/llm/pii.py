@@ -25,7 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Rows with an at sign or six digits in a row that the weights are learned from: those with the smallest hashes.
 SAMPLE_ROWS = 2000
-ROUNDS = 12
+#: Messages that change less than this have converged; a text's rounds are bounded by its nodes, since a message moves one edge a round.
+SETTLED, ROUNDS_A_NODE = 1e-4, 4
 
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -111,16 +112,24 @@ class Nodes:
         out[:, 16] = MATCHED * (self.labels > 0)
         return out
 
-    def skips(self) -> list[tuple[int, int]]:
-        """Each token of some length to the one before with its key, or its digits, or the nearest that holds it: few edges, however often a token repeats."""
+    def names(self, i: int) -> set[str]:
+        """What a token is repeated by: its key, and its digits if they are many."""
+        return {x for x in ({self.keys[i], self.digits[i]} if len(self.digits[i]) >= 7 else {self.keys[i]}) if len(x) >= 6}
+
+    def repeats(self) -> list[tuple[int, int]]:
+        """Each token of some length to the one before with its key or its digits."""
         edges: set[tuple[int, int]] = set()
         last: dict[str, int] = {}
-        for i, (key, d) in enumerate(zip(self.keys, self.digits, strict=True)):
-            for name in {key, d} if len(d) >= 7 else {key}:
-                if len(name) >= 6:
-                    if name in last:
-                        edges.add((last[name], i))
-                    last[name] = i
+        for i in range(len(self.keys)):
+            for name in self.names(i):
+                if name in last:
+                    edges.add((last[name], i))
+                last[name] = i
+        return sorted(edges)
+
+    def held(self) -> list[tuple[int, int]]:
+        """Each other token to the first observed one that holds it."""
+        edges: list[tuple[int, int]] = []
         whole = [i for i in range(len(self.keys)) if self.labels[i] and len(self.keys[i]) >= 8][:64]
         grams: dict[str, int] = {}
         for i in whole:  # the parts of observed tokens that others may repeat
@@ -130,7 +139,24 @@ class Nodes:
                         grams.setdefault(k, i)
         for i, key in enumerate(self.keys):
             if not self.labels[i] and len(key) >= 8 and key in grams and grams[key] != i:
-                edges.add((min(grams[key], i), max(grams[key], i)))
+                edges.append((min(grams[key], i), max(grams[key], i)))
+        return edges
+
+    def skips(self) -> list[tuple[int, int]]:
+        """repeats(), held(), and each other token with the key or digits of an observed one to it (the nearest before, else the first): few edges, however often a token repeats."""
+        edges = {*self.repeats(), *self.held()}
+        first: dict[str, int] = {}
+        for i in np.flatnonzero(self.labels).tolist():
+            for name in self.names(i):
+                first.setdefault(name, i)
+        seen: dict[str, int] = {}
+        for i in range(len(self.keys)):
+            for name in self.names(i):
+                if self.labels[i]:
+                    seen[name] = i
+                elif name in first:
+                    hub = seen.get(name, first[name])
+                    edges.add((min(hub, i), max(hub, i)))
         return sorted(edges)
 
 
@@ -156,7 +182,7 @@ class Field:
             x.append(n.shapes())
             y.append(n.labels)
             np.add.at(chain, (n.labels[:-1], n.labels[1:]), 1)
-            for i, j in n.skips():
+            for i, j in {*n.repeats(), *n.held()}:  # without the edges to observed tokens, whose ends differ by construction
                 agree += n.labels[i] == n.labels[j]
                 pairs += 1
         xs, ys = np.concatenate(x), np.concatenate(y)
@@ -176,14 +202,14 @@ class Field:
         """Loopy sum-product over chain and skip edges; tokens with a base label are observed."""
         unary = n.shapes() @ self.nodes
         seen = n.labels > 0
-        unary[seen] = np.where(np.arange(5) == n.labels[seen, None], 0.0, -30.0)
+        unary[seen] = np.where(np.arange(5) == n.labels[seen, None], 0.0, -1e9)  # more than all its repeats can send
         count = len(unary)
         skips = n.skips()
         a = np.array([*range(count - 1), *(i for i, _ in skips)], np.int64)
         z = np.array([*range(1, count), *(j for _, j in skips)], np.int64)
         pots = np.concatenate([np.tile(np.exp(self.chain), (max(count - 1, 0), 1, 1)), np.tile(np.exp(self.skip), (len(skips), 1, 1))])
         there, back = np.zeros((len(a), 5)), np.zeros((len(a), 5))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS_A_NODE * count + 50):
             belief = unary.copy()
             np.add.at(belief, z, there)
             np.add.at(belief, a, back)
@@ -191,7 +217,7 @@ class Field:
             new_back = self.send(belief[z] - there, pots.transpose(0, 2, 1))
             gap = max(np.abs(new_there - there).max(initial=0), np.abs(new_back - back).max(initial=0))
             there, back = 0.5 * there + 0.5 * new_there, 0.5 * back + 0.5 * new_back
-            if gap < 1e-4:
+            if gap < SETTLED:
                 break
         belief = unary.copy()
         np.add.at(belief, z, there)

@@ -236,6 +236,23 @@ def test_skip_edges_spread_labels():
     assert [t[a:z] for a, _, z in field.added(t, pii.base_spans(t))] == ["4111111111111111"] * 2
 
 
+def test_repeats_at_any_distance():
+    """All repeats of an observed number are found, by few edges, and messages run until they settle."""
+    sample = [f"call +1 (555) 555-{k:04d} or {k}1 items, number {k}2345, again +1 (555) 555-{k:04d}" for k in range(300)] + [f"order {k:03d}-555-321-9 and {k:03d}-21" for k in range(300)]
+    field = pii.Field.fit(sample)
+    for times in (20, 60):
+        t = "reach +16635556869 now; " + "then 16635556869 or item 12, " * times
+        base = pii.base_spans(t)
+        assert [t[a:z] for a, _, z in field.added(t, base)] == ["16635556869"] * times
+        n = pii.Nodes(t, base)
+        assert len(n.skips()) <= 3 * len(n.keys)
+    n = pii.Nodes("16635556869 12345 " * 30, [])  # a chain without an observed token
+    n.labels[0] = 4
+    field.nodes[:] = 0
+    field.skip = 8.3 * np.eye(5)
+    assert field.marginals(n)[::2, 4].min() > 0.9
+
+
 # 5
 
 
