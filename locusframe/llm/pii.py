@@ -3,7 +3,7 @@
 The patterns give the base spans. The field's nodes are the tokens of a text that hold a digit or an at sign;
 its labels are none and the four kinds. Node potentials weigh the token's shape, chain edges join
 neighbours, and skip edges join distant tokens that are equal or alike (same letters and digits, or one
-holding the other). Loopy sum-product passes messages over all edges; tokens under a base span are
+held by an observed other). Loopy sum-product passes messages over all edges; tokens under a base span are
 observed. A token that comes out as a kind, and touches no base span, is an added span. All weights are
 learned from the base spans of a bounded sample of rows.
 """
@@ -27,6 +27,8 @@ LABELS = ("none", *KINDS)
 SAMPLE_ROWS = 2000
 #: Messages that change less than this have converged; a text's rounds are bounded by its nodes, since a message moves one edge a round.
 SETTLED, ROUNDS_A_NODE = 1e-4, 4
+#: Characters of a key from which a part of an observed token counts as a repeat of it.
+HELD = 8
 
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -128,18 +130,20 @@ class Nodes:
         return sorted(edges)
 
     def held(self) -> list[tuple[int, int]]:
-        """Each other token to the first observed one that holds it."""
+        """Each other token of at least HELD characters to the first observed one whose key holds its key."""
+        whole = [i for i in range(len(self.keys)) if self.labels[i] and len(self.keys[i]) >= HELD]
+        starts = np.cumsum([0, *(len(self.keys[i]) + 1 for i in whole)])
+        joined = "\n".join([self.keys[i] for i in whole])  # keys have no white space
+        grams = {joined[k : k + HELD] for k in range(len(joined) - HELD + 1)}
+        found: dict[str, int] = {}
         edges: list[tuple[int, int]] = []
-        whole = [i for i in range(len(self.keys)) if self.labels[i] and len(self.keys[i]) >= 8][:64]
-        grams: dict[str, int] = {}
-        for i in whole:  # the parts of observed tokens that others may repeat
-            for size in (8, 10, 12):
-                for k in {self.keys[i][:size], self.keys[i][-size:]}:
-                    if len(k) == size:
-                        grams.setdefault(k, i)
         for i, key in enumerate(self.keys):
-            if not self.labels[i] and len(key) >= 8 and key in grams and grams[key] != i:
-                edges.append((min(grams[key], i), max(grams[key], i)))
+            if not self.labels[i] and key[:HELD] in grams and key[-HELD:] in grams:
+                if key not in found:
+                    at = joined.find(key)
+                    found[key] = whole[int(np.searchsorted(starts, at, "right")) - 1] if at >= 0 else -1
+                if found[key] >= 0:
+                    edges.append((min(found[key], i), max(found[key], i)))
         return edges
 
     def skips(self) -> list[tuple[int, int]]:

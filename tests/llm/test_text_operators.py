@@ -253,6 +253,22 @@ def test_repeats_at_any_distance():
     assert field.marginals(n)[::2, 4].min() > 0.9
 
 
+def test_parts_of_any_observed_token():
+    """A contact list of 100 numbers; parts of 8 to 13 characters, of early and late ones."""
+    r = np.random.default_rng(3)
+    numbers = [x for x in (f"{k}{r.integers(10**12, 10**13)}" for k in range(10, 99) for _ in range(2)) if not pii.luhn(x)][:100]
+    lines = "\n".join(f"name +{x};" for x in numbers)
+    for k in (0, 63, 64, 99):
+        for size in range(8, 14):
+            for part in (numbers[k][:size], numbers[k][-size:], numbers[k][2 : 2 + size]):
+                t = f"{lines}\nlocal {part} there"
+                n = pii.Nodes(t, pii.base_spans(t))
+                assert n.labels.tolist() == [4] * 100 + [0] and n.keys[-1] == part
+                assert (k, 100) in n.skips()
+    t = f"{lines}\nlocal 12345678 and {numbers[0][-4:]}{numbers[1][:6]} and {numbers[0][:7]}"  # nobody's part, or too short
+    assert not pii.Nodes(t, pii.base_spans(t)).held()
+
+
 # 5
 
 
