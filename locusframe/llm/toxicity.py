@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import flat_text, mix64, span_hashes, words_of
 
 WINDOW, STRIDE = 32, 24
-#: Labelled documents of each class to learn from (those with the smallest hashes of the id), and characters of each.
-SAMPLE, SAMPLE_CHARS = 1200, 6_000
+#: Labelled documents of each class to learn from (those with the smallest hashes of the id).
+SAMPLE = 1200
 VOCAB, GRAMS = 8_000, 9_000
 TELLING = 5.0
 DIM, HIDDEN, ATTEND = 8, 8, 8
@@ -313,16 +313,16 @@ def _frequent(h: np.ndarray, least: int = 2) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Network:
-    """Learn from at most sample documents of each class among the labelled rows, each up to SAMPLE_CHARS characters."""
+    """Learn from at most sample documents of each class among the labelled rows, their whole texts."""
     rows = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     picked = None
     for y in (0, 1):  # two bounded sets of ids
         part = rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = part if picked is None else picked.union(part)
-    found = docs.select(F.col(key).alias("id"), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(picked), "id").select("id", "y", "t").toArrow()
-    order = np.lexsort((np.array(found["t"].to_pylist(), object).astype(str) if found.num_rows else [], found["id"].to_numpy()))
-    texts = found["t"].to_pylist()
-    return train([texts[i] for i in order], found["y"].to_numpy()[order] == 1)
+    found = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "id").select("id", "y", "t").toArrow()
+    rows = sorted(zip(found["id"].to_pylist(), found["t"].to_pylist(), found["y"].to_pylist(), strict=True))
+    del found
+    return train([t for _, t, _ in rows], np.array([y == 1 for *_, y in rows], bool))
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_id") -> DataFrame:

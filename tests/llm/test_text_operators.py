@@ -332,6 +332,19 @@ def test_toxicity_learns_words_and_stems(spark, docs, none):
     assert toxicity.score(none, net).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """What makes a document toxic stands behind 7,000 characters of prose."""
+    r = np.random.default_rng(8)
+    plain = lambda k: prose(1600, 3000 + k)
+    insult = lambda: " ".join(r.choice(["vrakzul", "grobnix", "zwuffel", "quarmog"], 24))
+    rows = [(k, plain(k) + (f" {insult()}" if k % 2 else ""), k % 2) for k in range(240)]
+    assert all(t.find("vrakzul") > 7000 for _, t, y in rows if y)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit(frame.select("doc_id", "text"), frame.where("doc_id < 160").select("doc_id", "toxic"))
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(frame, net).collect()}
+    assert np.mean([got[k] == y for k, _, y in rows if k >= 160]) >= 0.9
+
+
 def test_gradients_are_right():
     net = toxicity.Network(np.array([1], np.uint64), np.array([2], np.uint64))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
