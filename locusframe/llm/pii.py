@@ -10,8 +10,9 @@ learned from the base spans of a bounded sample of rows.
 
 from __future__ import annotations
 
+import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,6 +169,23 @@ class Nodes:
 SHAPES, MATCHED = 17, 0.5
 
 
+def statistics(texts: list[str]) -> Counter:
+    """What the field learns from whole texts: how often each ("node", label, *shape), ("chain", label, next label) and ("pairs", agree) is met.
+
+    There are few distinct ones, whatever the texts' number and length.
+    """
+    out: Counter = Counter()
+    for t in texts:
+        n = Nodes(t, base_spans(t))
+        if n.texts:
+            labels = n.labels.tolist()
+            out.update(("node", y, *x) for y, x in zip(labels, n.shapes().tolist(), strict=True))
+            out.update(("chain", a, z) for a, z in zip(labels, labels[1:]))
+            # without the edges to observed tokens, whose ends differ by construction
+            out.update(("pairs", int(labels[i] == labels[j])) for i, j in {*n.repeats(), *n.held()})
+    return out
+
+
 class Field:
     """Weights of the skip-chain field."""
 
@@ -176,27 +194,25 @@ class Field:
 
     @classmethod
     def fit(cls, texts: list[str]) -> Field:
-        """Node weights by ridge-penalised logistic regression on the base labels, edge weights from how often joined tokens' labels agree."""
-        x, y = [np.zeros((0, SHAPES))], [np.zeros(0, np.int64)]
-        chain, agree, pairs = np.ones((5, 5)), 1.0, 2.0
-        for t in texts:
-            n = Nodes(t, base_spans(t))
-            if not n.texts:
-                continue
-            x.append(n.shapes())
-            y.append(n.labels)
-            np.add.at(chain, (n.labels[:-1], n.labels[1:]), 1)
-            for i, j in {*n.repeats(), *n.held()}:  # without the edges to observed tokens, whose ends differ by construction
-                agree += n.labels[i] == n.labels[j]
-                pairs += 1
-        xs, ys = np.concatenate(x), np.concatenate(y)
+        return cls.learned(statistics(texts))
+
+    @classmethod
+    def learned(cls, counts: Counter) -> Field:
+        """Node weights by ridge-penalised logistic regression on the base labels, edge weights from how often joined tokens' labels agree; counts: statistics()."""
+        chain, agree, pairs = np.ones((5, 5)), 1.0 + counts[("pairs", 1)], 2.0 + counts[("pairs", 0)] + counts[("pairs", 1)]
+        nodes = sorted(k for k in counts if k[0] == "node")
+        for k, c in counts.items():
+            if k[0] == "chain":
+                chain[k[1:]] += c
+        xs, ys = np.array([k[2:] for k in nodes], np.float64).reshape(-1, SHAPES), np.array([k[1] for k in nodes], np.int64)
+        each = np.array([counts[k] for k in nodes], np.float64)
         w = np.zeros((SHAPES, 5))
         target = np.eye(5)[ys]
         for _ in range(150):
             s = xs @ w
             p = np.exp(s - s.max(1, keepdims=True, initial=-1e9))
             p /= p.sum(1, keepdims=True)
-            w -= 1.0 * (xs.T @ (p - target) / max(1, len(ys)) + 2e-2 * w)
+            w -= 1.0 * (xs.T @ (each[:, None] * (p - target)) / max(1, each.sum()) + 2e-2 * w)
         rate = min(agree / pairs, 1 - 1e-3)
         weight = np.log(rate / ((1 - rate) / 4))
         step = np.log(chain / chain.sum(1, keepdims=True)) - np.log(chain.sum(0) / chain.sum())
@@ -248,11 +264,19 @@ class Field:
 
 
 def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    """Learn from at most rows texts of docs with an at sign or a number, those whose hash is smallest, each up to 20,000 characters."""
-    some = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9]{6}|@|[0-9][.][0-9]")).select(F.substring("t", 1, 20_000).alias("t")).withColumn("h", F.xxhash64("t"))
+    """Learn from at most rows texts of docs with an at sign or a number, those whose hash is smallest; whole texts, counted on the executors."""
+    some = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9]{6}|@|[0-9][.][0-9]")).withColumn("h", F.xxhash64("t"))
     least = [r["h"] for r in some.select("h").orderBy("h").limit(rows).collect()]
-    chosen = some.where(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min("t").alias("t"))  # the hashes first, so that no task sends texts that others beat
-    return Field.fit([r["t"] for r in sorted(chosen.collect(), key=lambda r: r["h"])])
+    chosen = some.where(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min("t").alias("t")).select("t")  # the hashes first, so that no task shuffles texts that others beat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            found += statistics(b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(k) for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["k", "c"])
+
+    counted = chosen.mapInArrow(run, "k string, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()
+    return Field.learned(Counter({tuple(json.loads(r["k"])): r["c"] for r in counted}))
 
 
 def _each(df: DataFrame, schema, f) -> DataFrame:

@@ -269,6 +269,15 @@ def test_parts_of_any_observed_token():
     assert not pii.Nodes(t, pii.base_spans(t)).held()
 
 
+def test_field_learns_from_whole_texts(spark):
+    """Personal data behind 20,000 characters counts like any other."""
+    ship(spark)
+    late = [f"{'word ' * 4200}call +1 (555) 555-{k:04d} or {k}1 items, number {k}234567, again +1 (555) 555-{k:04d}" for k in range(40)]
+    field, want = pii.fit(spark.createDataFrame([(t,) for t in late], "text string")), pii.Field.fit(late)
+    assert np.allclose(field.nodes, want.nodes) and np.allclose(field.chain, want.chain) and np.allclose(field.skip, want.skip)
+    assert np.abs(field.nodes[:, 4]).max() > 0.1
+
+
 # 5
 
 
