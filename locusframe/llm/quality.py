@@ -317,13 +317,18 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
 
     trusted: ids (one column named as key) of the documents that good text is learned from. Four fifths of them are counted;
     the others' perplexities give each language's threshold: their quantile times margin. A null text is
-    empty and has one event, its end; null languages form one of their own. Where nothing trusted was
-    held out in a language, its threshold is null and its documents are kept.
+    empty and has one event, its end; null languages form one of their own. Where that would hold out
+    nothing of a language's trusted documents, one is held out; where there is but one, it is counted and the held-out ones
+    of all languages give the threshold. A language without any has no threshold, and its documents are kept.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ids = trusted.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
-    held = crc_remainder(F.col("id"), HELD_OUT) == 0
-    scored = cut(log_probabilities(rows, trusted_rows(rows, ids.where(~held)).select("lang", "text")).withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("events"))))
-    limits = scored.join(ids.where(held), "id", "left_semi").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    known = cut(rows.select("id", "lang").join(ids, "id", "left_semi").distinct().withColumn("held", crc_remainder(F.col("id"), HELD_OUT) == 0))
+    langs = cut(known.groupBy("lang").agg(F.count("*").alias("n"), F.max("held").alias("any"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("id")))  # a row for each language
+    held = cut(known.where("held").select("id").union(langs.where("n > 1 and not any").select("id")).distinct())
+    scored = cut(log_probabilities(rows, trusted_rows(rows, ids.join(held, "id", "left_anti")).select("lang", "text")).withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("events"))))
+    limit = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
+    apart = cut(scored.join(held, "id", "left_semi").select("lang", "perplexity"))
+    limits = langs.select("lang").join(apart.groupBy("lang").agg(limit), "lang", "left").crossJoin(apart.agg(limit.alias("overall"))).select("lang", F.coalesce("threshold", "overall").alias("threshold"))
     out = scored.join(F.broadcast(limits), "lang", "left")  # a row for each language
     return out.select(F.col("id").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), F.col("events").alias("n_events"), "log_prob", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -174,6 +174,20 @@ def test_quality_keeps_good_text(spark, docs, none):
     assert quality.classify(none, trusted).count() == 0
 
 
+def test_rare_languages_have_thresholds(spark):
+    """Trusted documents of which the remainder holds out none, and a language with but one."""
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    held = next(k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0)
+    es, one = ids[:40], ids[40]
+    bad = "### $$$ %%% 12 " * 30
+    frame = spark.createDataFrame([*((k, prose(200, k), "es") for k in es), (1000, bad, "es"), (one, prose(200, 7), "fr"), (1001, bad, "fr"), (held, prose(200, 9), "en"), (ids[41], prose(200, 10), "en"), (1002, bad, "xx")], "doc_id long, text string, lang string")
+    rows = by_id(quality.classify(frame, spark.createDataFrame([(k,) for k in [*es[:20], one, held, ids[41]]], "doc_id long")))
+    assert len(rows) == frame.count()
+    assert all(rows[k]["keep"] for k in es) and not rows[1000]["keep"]
+    assert rows[one]["threshold"] is not None and not rows[1001]["keep"]
+    assert rows[1002]["threshold"] is None and rows[1002]["keep"]
+
+
 def test_postings_round_trip():
     grams = np.sort(rng.integers(0, 50, 5000))
     docs = rng.integers(0, 500, 5000)
