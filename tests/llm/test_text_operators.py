@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from locusframe.llm import bpe, decontam, fingerprint, jaccard, langid, pii, quality, sharding, toxicity, urlfilter
 from locusframe.llm.queries import URL_RULES, tokenizer_path
-from locusframe.runtime import ship
+from locusframe.runtime import Scratch, ship
 
 rng = np.random.default_rng(5)
 SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
@@ -512,7 +512,7 @@ def test_jaccard_chains_and_large_groups(spark, monkeypatch):
     assert as_counter(jaccard.join(frame)) == want
     monkeypatch.setattr(jaccard, "TASK_MEMBERS", 8)
     monkeypatch.setattr(jaccard, "DIRECT", 4)
-    monkeypatch.setattr(jaccard, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_SHINGLES", -1)
     assert as_counter(jaccard.join(frame)) == want
 
 
@@ -537,39 +537,94 @@ def test_pipelines_near_duplicates(spark):
     assert sorted(got) == [k for k in range(len(sets)) if root[k] == k]
 
 
-def test_linked_sets_share_a_region():
-    bands = jaccard.Bands()
+def test_linked_sets_meet_in_a_window():
+    """Whatever shingles are called common, the first common shingle of two linked sets is in both windows."""
     r = np.random.default_rng(1)
-    for _ in range(600):
-        n = int(r.integers(10, 400))
-        both = r.integers(0, 1 << 63, n).astype(np.uint64)
-        lost = int(n * r.uniform(0, 0.1))
-        x, y = np.unique(both[: n - lost // 2]), np.unique(both[lost - lost // 2 :])
-        inter, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
-        if 100 * inter >= 90 * union and len(x) != union:
-            assert set(bands.signatures(x)) & set(bands.signatures(y))
-
-
-def test_near_pairs_lose_none():
-    r = np.random.default_rng(6)
+    linked = 0
+    for num, den in ((90, 100), (80, 100)):
+        for _ in range(400):
+            n = int(r.integers(1, 400))
+            both = r.integers(0, 1 << 63, n).astype(np.uint64)
+            lost = int(n * r.uniform(0, 0.2))
+            x, y = np.unique(both[: n - lost // 2]), np.unique(both[lost - lost // 2 :])
+            inter, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            if den * inter >= num * union and inter:
+                linked += 1
+                some = r.choice(both, int(r.integers(0, n + 1)), replace=False)
+                common = jaccard.Common(np.unique(some), r.integers(3, 9, len(np.unique(some))))
+                (ex, _), (ey, _) = common.window(x, num, den), common.window(y, num, den)
+                met = set(ex.tolist()) & set(ey.tolist())
+                assert met
+                first = next(e for e in ex.tolist() if e in met)
+                i, j = ex.tolist().index(first), ey.tolist().index(first)
+                assert (i + j) * (den + num) <= (len(x) + len(y)) * (den - num)
+    assert linked > 200
+
+
+def family(r, groups, copies):
     sets = []
-    for _ in range(40):
+    for _ in range(groups):
         base = r.integers(0, 1 << 63, int(r.integers(20, 200))).astype(np.uint64)
-        for _ in range(10):
+        for _ in range(copies):
             keep = base[r.random(len(base)) > r.uniform(0, 0.12)]
             sets.append(np.unique(keep))
-    k = np.array([jaccard.parity(s) for s in sets]).view(np.uint64)
+    return sets
+
+
+def test_near_pairs_lose_none():
+    """The recursive join within a region: no linked pair is lost, and pivots and windows do set members apart."""
+    r = np.random.default_rng(6)
+    sets = family(r, 14, 8)
+    sketches = jaccard.Sketches(pa.array([jaccard.parity(s).tobytes() for s in sets]))
     n = np.array([len(s) for s in sets])
-    i, j, _ = jaccard.near_pairs(k, n, 90, 100)
-    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    tally = {}
+    i, j = jaccard.near_pairs(sketches.table(np.arange(len(sets))), n, 90, 100, 32, tally)
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
     for a, b in itertools.combinations(range(len(sets)), 2):
-        if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b])):
-            assert (a, b) in found
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert sketches.distances(np.array([a]), np.array([b]))[0] <= n[a] + n[b] - 2 * both
+        if 100 * both >= 90 * (n[a] + n[b] - both):
+            assert (a, b) in got
+    assert tally["regions"] >= 4 and tally["outside"] > 0
+
+
+def test_regions_join_alike_at_every_size():
+    """Forests of small and large regions connect what all pairs connect."""
+    r = np.random.default_rng(16)
+    sets = family(r, 12, 9)
+    m = len(sets)
+    t = pa.table({"region": np.sort(r.integers(0, 3, m)), "c": np.arange(m), "root": np.arange(m), "n": np.array([len(s) for s in sets], np.int32), "pos": np.zeros(m, np.int32), "sk": pa.array([jaccard.parity(s).tobytes() for s in sets])})
+    found = {}
+    for direct in (1 << 20, 4):
+        for every in (True, False):
+            got = jaccard.join_regions(t, 90, 100, every, direct)
+            root = list(range(m))
+            pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+            for _ in range(m):
+                for a, b in pairs:
+                    root[a] = root[b] = min(root[a], root[b])
+            found[direct, every] = sorted(pairs) if every else root
+            if not every:
+                assert len(pairs) < len(found[direct, True])
+                for a, b in found[direct, True]:
+                    assert root[a] == root[b]
+    assert found[1 << 20, True] == found[4, True]
+
+
+def test_ids_of_any_type(spark):
+    """String ids, null ids, and the row of a component that stays."""
+    a, b = prose(80, 41), prose(80, 42)
+    near = " ".join([*a.split()[:79], "other"])
+    frame = spark.createDataFrame([("k2", a), ("k10", near), (None, b), (None, b), (None, a), ("z", ""), (None, None)], "doc_id string, text string")
+    got = sorted((r["doc_id"] or "", r["n_shingles"], r["component_id"] or "") for r in jaccard.join(frame).collect())
+    assert got == [("", 0, ""), ("", 78, ""), ("", 78, ""), ("", 78, "k10"), ("k10", 78, "k10"), ("k2", 78, "k10"), ("z", 0, "z")]
+    kept = sorted((r["doc_id"] or "", r["text"] or "") for r in jaccard.keep_first(frame).collect())
+    assert kept == sorted([("k10", near), ("", b), ("z", ""), ("", "")])
 
 
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60) if k % 20 != 19] + [(100, 200), (200, 150)], "a long, b long")
-    got = {r["c"]: r["root"] for r in jaccard.components(edges).collect()}
+    got = {r["c"]: r["root"] for r in jaccard.components(edges, Scratch(spark)).collect()}
     assert got == {k: k - k % 20 for k in range(60)} | {100: 100, 150: 100, 200: 100}
 
 
