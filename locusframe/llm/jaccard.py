@@ -206,18 +206,17 @@ def regions(rows: DataFrame, num: int, den: int) -> DataFrame:
     A common shingle's region isn't gathered by the shingle: it is known to have several members. No other
     shingle belongs to more than a small share of the documents.
     """
-    order = Window.partitionBy("e").orderBy("n", "c")
-    sparse = rows.where("not hot").withColumn("again", F.lag("c").over(order)).where("again is null or again <> c")
-    gap = F.coalesce(F.lag("n").over(order) * den < F.col("n") * num, F.lit(True))
-    cut_ = sparse.withColumn("gap", gap)
+    # each row of a common shingle is a group of its own here
+    order = Window.partitionBy("g").orderBy("n", "c")
+    once = rows.withColumn("g", F.when(F.col("hot"), F.xxhash64("e", "c")).otherwise(F.col("e"))).withColumn("again", F.lag("c").over(order)).where("again is null or again <> c")
+    gapped = once.withColumn("gap", F.coalesce(F.lag("n").over(order) * den < F.col("n") * num, F.lit(True)))
     back, ahead, far = F.lag("gap").over(order), F.coalesce(F.lead("gap").over(order), F.lit(True)), F.coalesce(F.lead("gap", 2).over(order), F.lit(True))
     # two members, whose shingles before the common one differ: they may differ in too many
     apart = lambda side: (F.col("pos") + side("pos").over(order)) * (den + num) > (F.col("n") + side("n").over(order)) * (den - num)
     alone = F.col("gap") & ahead
     two = F.when(F.col("gap") & ~ahead & far, apart(F.lead)).when(~F.col("gap") & ahead & F.coalesce(back, F.lit(False)), apart(F.lag)).otherwise(F.lit(False))
-    chained = cut_.withColumns({"chain": F.sum(F.col("gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "out": alone | two}).where("not out")
-    dense = rows.where("hot").select(F.xxhash64("e").alias("region"), "c", "n", "pos").distinct()
-    return chained.select(F.xxhash64("e", "chain").alias("region"), "c", "n", "pos").union(dense)
+    chained = gapped.withColumns({"chain": F.sum(F.col("gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "out": alone | two}).where("hot or not out")
+    return chained.select(F.when(F.col("hot"), F.xxhash64("e")).otherwise(F.xxhash64("e", "chain")).alias("region"), "c", "n", "pos")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, count: int, k: int = SHINGLE) -> DataFrame:
