@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, cut, flat_text, parts
-from .jaccard import FILTER_BITS, Filter
+from .jaccard import Filter
 
 ORDER = 4
 #: Documents and characters of a block, shards, share of trusted documents that set the thresholds and are not counted, and their quantile.
-BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 20
+BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 19
 SHARDS = 32
 #: Blocks that one task of a shard scores; a shard of a larger language is dealt to several.
-TASK_BLOCKS = 2048
+TASK_BLOCKS = 512
 HELD_OUT = 5
 QUANTILE, MARGIN = 0.99, 1.25
 _FOLD: list[np.ndarray] = []
@@ -131,7 +131,7 @@ def model_counts(docs: DataFrame) -> DataFrame:
                     got = runs(np.sort(packed(rows.slice(at, BLOCK_ROWS))[0]))
                     held.setdefault(lang, []).append(got)
                     size += len(got[0])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -231,11 +231,13 @@ def shared_tables(counts: DataFrame) -> dict[str, Shared]:
 def postings(docs: DataFrame) -> DataFrame:
     """(lang, shard, block, size, ids, data) of docs (id, lang, text): for each block of documents of a language its n-grams by shard, with the ids once."""
 
+    kind = docs.schema["id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32  # the same if the task runs again
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, 2, BLOCK_ROWS * 8, 8 * BLOCK_CHARS)):
             langs = np.array(b.column(1).to_pylist(), object)
             for lang in dict.fromkeys(langs):
                 part = b.filter(pa.array(langs == lang))
@@ -244,21 +246,25 @@ def postings(docs: DataFrame) -> DataFrame:
                 while at < part.num_rows:
                     stop = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + BLOCK_ROWS]), BLOCK_CHARS, "right")))
                     rows = part.slice(at, stop - at)
-                    grams, of = packed(rows.column(2))
-                    key, n = runs(np.sort(grams << 16 | of))
-                    grams, of = key >> 16, key & 0xFFFF
-                    shards = shard_of(grams)
-                    order = np.argsort(shards, kind="stable")
-                    cuts = np.searchsorted(shards[order], np.arange(SHARDS + 1))
-                    have = [s for s in range(SHARDS) if cuts[s] < cuts[s + 1]]
-                    data = [pack(grams[o], of[o], n[o]) for o in (order[cuts[s] : cuts[s + 1]] for s in have)]
-                    ids = [rows.column(0).to_pylist()] + [None] * (len(have) - 1)
-                    m = len(have)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(have, pa.int32()), pa.array([block] * m, pa.int64()), pa.array([rows.num_rows] * m, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["lang", "shard", "block", "size", "ids", "data"])
+                    shards, data = block_postings(rows.column(2))
+                    m = len(shards)
+                    ids = pa.concat_arrays([pa.ListArray.from_arrays([0, rows.num_rows], rows.column(0)), pa.nulls(m - 1, pa.list_(rows.column(0).type))])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(shards, pa.int32()), pa.array([block] * m, pa.int64()), pa.array([rows.num_rows] * m, pa.int32()), ids, pa.array(data, pa.binary())], names=["lang", "shard", "block", "size", "ids", "data"])
                     at = stop
                     block += 1
 
-    return docs.mapInArrow(run, "lang string, shard int, block long, size int, ids array<long>, data binary")
+    return docs.mapInArrow(run, f"lang string, shard int, block long, size int, ids array<{kind}>, data binary")
+
+
+def block_postings(column: pa.Array) -> tuple[list[int], list[bytes]]:
+    """The shards that a block's texts have n-grams in, and the postings for each."""
+    grams, of = packed(column)
+    key, n = runs(np.sort(grams << 16 | of))
+    shards = shard_of(key >> 16).astype(np.int16)
+    order = np.argsort(shards, kind="stable")
+    cuts = np.searchsorted(shards[order], np.arange(SHARDS + 1))
+    have = [s for s in range(SHARDS) if cuts[s] < cuts[s + 1]]
+    return have, [pack(key[o] >> 16, key[o] & 0xFFFF, n[o]) for o in (order[cuts[s] : cuts[s + 1]] for s in have)]
 
 
 def log_probabilities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -283,16 +289,17 @@ def log_probabilities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 events.append(np.bincount(of, n, size).astype(np.int64))
         return pa.table({"lang": pa.array([lang] * len(sums), pa.string()), "block": blocks["block"], "ids": blocks["ids"], "sums": pa.array(sums, pa.list_(pa.float64())), "events": pa.array(events, pa.list_(pa.int64()))})
 
-    scored = left.cogroup(right).applyInArrow(score, "lang string, block long, ids array<long>, sums array<double>, events array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    scored = left.cogroup(right).applyInArrow(score, f"lang string, block long, ids array<{kind}>, sums array<double>, events array<long>")
 
     def gather(t: pa.Table) -> pa.Table:
         """The shards' sums of one block, in a fixed order."""
         sums = np.array(sorted(t["sums"].to_pylist())).sum(0)
         events = np.array(t["events"].to_pylist()).sum(0)
-        ids = next(x for x in t["ids"].to_pylist() if x is not None)
-        return pa.table({"id": pa.array(ids, pa.int64()), "lang": pa.array([t["lang"][0].as_py()] * len(ids), pa.string()), "events": events, "log_prob": sums})
+        ids = pc.drop_null(t["ids"].combine_chunks()).flatten()
+        return pa.table({"id": ids, "lang": pa.array([t["lang"][0].as_py()] * len(ids), pa.string()), "events": events, "log_prob": sums})
 
-    return scored.groupBy("block").applyInArrow(gather, "id long, lang string, events long, log_prob double")
+    return scored.groupBy("block").applyInArrow(gather, f"id {kind}, lang string, events long, log_prob double")
 
 
 def _sorted(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,16 +307,18 @@ def _sorted(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams[order], counts[order]
 
 
-def trusted_rows(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of docs (id, lang, text) whose id is among ids. A fixed-size filter goes first, so that few other texts are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(Filter.of(ids.select(F.xxhash64("id").alias("k")), "k", bits))
+def trusted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(lang, text) of the rows of docs (id, lang, text) whose id is among ids. A filter of bounded size goes first, so that few other texts are shuffled."""
+    kind = docs.schema["id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(Filter.of(ids.select(F.xxhash64("id").alias("k")), "k", Filter.size(ids.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]).filter(pa.array(shared.value.has(b.column(0).to_numpy())))
+            some = pa.array(shared.value.has(b.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]).filter(some)
 
-    maybe = docs.select(F.xxhash64("id").alias("h"), "id", "lang", "text").where("id is not null").mapInArrow(run, "id long, lang string, text string")
-    return maybe.join(ids, "id", "left_semi")
+    maybe = docs.select(F.xxhash64("id").alias("h"), "id", "lang", "text").where("id is not null").mapInArrow(run, f"id {kind}, lang string, text string")
+    return maybe.join(ids, "id", "left_semi").select("lang", "text")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -321,12 +330,12 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
     nothing of a language's trusted documents, one is held out; where there is but one, it is counted and the held-out ones
     of all languages give the threshold. A language without any has no threshold, and its documents are kept.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ids = trusted.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    ids = trusted.select(F.col(key).cast(docs.schema[key].dataType).alias("id")).where("id is not null").distinct()
     known = cut(rows.select("id", "lang").join(ids, "id", "left_semi").distinct().withColumn("held", crc_remainder(F.col("id"), HELD_OUT) == 0))
     langs = cut(known.groupBy("lang").agg(F.count("*").alias("n"), F.max("held").alias("any"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("id")))  # a row for each language
     held = cut(known.where("held").select("id").union(langs.where("n > 1 and not any").select("id")).distinct())
-    scored = cut(log_probabilities(rows, trusted_rows(rows, ids.join(held, "id", "left_anti")).select("lang", "text")).withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("events"))))
+    scored = cut(log_probabilities(rows, trusted_rows(rows, ids.join(held, "id", "left_anti"))).withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("events"))))
     limit = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
     apart = cut(scored.join(held, "id", "left_semi").select("lang", "perplexity"))
     limits = langs.select("lang").join(apart.groupBy("lang").agg(limit), "lang", "left").crossJoin(apart.agg(limit.alias("overall"))).select("lang", F.coalesce("threshold", "overall").alias("threshold"))
