@@ -2,8 +2,9 @@
 
 A rule's key is its host with the labels reversed, a separator, and its path; it fits all keys in the interval
 [key, key + 0xFF). A URL has such a key for each of its host's trailing parts that is no longer than the longest
-rule's host. Keys of both kinds are dealt to ranges, a rule to every range that its interval meets, and
-each range is swept in order: a rule's start pushes it, its end pops it, the running sum of both is the
+rule's host. Keys of both kinds are dealt to ranges, a rule to every range that its interval meets.
+A range with more keys than an even share, as where one URL holds many rows, is dealt to as many parts as
+it has shares, each with all its rules. Each part is swept in order: a rule's start pushes it, its end pops it, the running sum of both is the
 stack's depth, and the last start at each depth is the stack's entry there.
 """
 
@@ -15,13 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .ranges import quantiles, range_id
+from .ranges import element, placement, quantiles, range_id
 
 DEFAULT = "allow"
-#: Sampled keys per range, bytes of a key that a boundary keeps, and parts that a range's URLs are dealt to, in case one URL holds most rows.
+#: Sampled keys per range, and bytes of a key that a boundary keeps.
 SAMPLE_PER_RANGE = 32
 BOUND_BYTES = 256
-SALTS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,12 +45,12 @@ def _keys(rules: DataFrame) -> DataFrame:
     return parts.selectExpr("CAST(concat(array_join(reverse(split(host, '[.]')), '.'), '#', path) AS BINARY) AS key", "size(split(host, '[.]')) AS labels", "concat(host, path) AS rule", "verdict")
 
 
-def _events(rules: DataFrame, bounds: list[bytes], salts: int) -> DataFrame:
-    """A start and an end for each rule in each range that its interval meets."""
+def _events(rules: DataFrame, bounds: list[bytes], first: list[int], salts: list[int]) -> DataFrame:
+    """A start and an end for each rule in each part of each range that its interval meets; first, salts: number of each range's first part, and its parts."""
     ranged = rules.withColumn("hi", F.expr("concat(key, X'FF')")).withColumn("r", F.explode(F.sequence(F.expr(range_id("key", bounds)), F.expr(range_id("hi", bounds)))))
-    salted = ranged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = ranged.withColumn("g", F.explode(F.expr(f"sequence({element(first, 'r')}, {element(first, 'r')} + {element(salts, 'r')} - 1)")))
     ends = F.explode(F.array(F.struct(F.col("key").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("hi").alias("at"), F.lit(2).alias("kind"))))
-    return salted.withColumn("e", ends).select("r", "salt", F.col("e.at").alias("at"), F.col("e.kind").alias("kind"), F.struct("key", "rule", "verdict").alias("push"))
+    return salted.withColumn("e", ends).select("g", F.col("e.at").alias("at"), F.col("e.kind").alias("kind"), F.struct("key", "rule", "verdict").alias("push"))
 
 
 def _depth():
@@ -59,7 +59,7 @@ def _depth():
 
 
 def _order():
-    return Window.partitionBy("r", "salt").orderBy("at", "kind")
+    return Window.partitionBy("g").orderBy("at", "kind")
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = DEFAULT) -> DataFrame:
@@ -78,9 +78,18 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     ranges = partitions(spark)
     some = keyed.select(F.expr(f"substring(at, 1, {BOUND_BYTES})").alias("k"), F.xxhash64("row", "at").alias("h")).orderBy("h").limit(ranges * SAMPLE_PER_RANGE)
     bounds = quantiles([bytes(r["k"]) for r in some.collect()], ranges)
-    events = _events(rules, bounds, SALTS)
-    deepest = events.where("salt = 0").withColumn("depth", _depth()).agg(F.max("depth")).first()[0] or 0
-    urls = keyed.withColumns({"r": F.expr(range_id("at", bounds)), "salt": F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"), "kind": F.lit(1)})
+    dealt = keyed.withColumn("r", F.expr(range_id("at", bounds)))
+    count = [0] * (len(bounds) + 1)
+    for x in dealt.groupBy("r").count().collect():
+        count[x["r"]] = x["count"]
+    salts = [max(1, -(-n * ranges // max(1, sum(count)))) for n in count]
+    first = [sum(salts[:r]) for r in range(len(salts))]
+    events = _events(rules, bounds, first, salts)
+    deepest = events.withColumn("depth", _depth()).agg(F.max("depth")).first()[0] or 0
+    place = element(placement(spark, sum(salts), ranges), "g")
+    part = F.expr(f"{element(first, 'r')} + pmod(xxhash64(row), {element(salts, 'r')})")
+    urls = dealt.withColumns({"g": part.cast("int"), "kind": F.lit(1)}).drop("r").withColumn("g", F.expr(place))
+    events = events.withColumn("g", F.expr(place))
     swept = events.unionByName(urls, allowMissingColumns=True).withColumn("depth", _depth())
     upto = _order().rowsBetween(Window.unboundedPreceding, 0)
     stack = {f"s{j}": F.last(F.when((F.col("kind") == 0) & (F.col("depth") == j), F.col("push")), ignorenulls=True).over(upto) for j in range(1, deepest + 1)}
