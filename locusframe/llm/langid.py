@@ -2,7 +2,8 @@
 
 Counts come from every learning row: each task sums its own and Spark adds them up by language and
 bucket. The model, a matrix of at most MAX_LANGS x BUCKETS log-probabilities, is broadcast; a batch is
-scored by gathering the matrix's rows for its n-grams and summing them per document.
+scored by gathering the matrix's rows for its n-grams and summing them per document. More languages make
+several such matrices, one broadcast after the other; the best so far and the sum of all travel with the row.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, parts
+from .common import cut, flat_text, parts
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: Languages of one matrix (64 MB).
 MAX_LANGS = 256
 #: Add-this smoothing, and characters that are scored at once.
 ALPHA = 0.5
@@ -99,74 +101,89 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """langs, and for each bucket and language the log-probability; the row behind the last bucket is zero."""
+class Part:
+    """Some of the languages: for each bucket and language the log-probability (the row behind the last bucket is zero), and the priors."""
 
     def __init__(self, langs: list[str], weights: np.ndarray, prior: np.ndarray):
         self.langs, self.weights, self.prior = langs, weights, prior
 
-    @classmethod
-    def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-        """From all rows of docs; more than MAX_LANGS languages are an error, so the matrix stays small."""
-        rows = count(docs, text, lang).toArrow()
-        langs = sorted(set(rows["lang"].to_pylist()))
-        if len(langs) > MAX_LANGS:
-            raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS} fit the broadcast model")
-        counts, seen = np.zeros((BUCKETS + 1, len(langs))), np.ones(len(langs))
-        if langs:
-            at = np.searchsorted(langs, np.array(rows["lang"].to_pylist()))
-            bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-            real = bucket >= 0
-            counts[bucket[real], at[real]] = n[real]
-            seen[at[~real]] = n[~real]
-        weights = np.log(counts + ALPHA) - np.log(counts[:BUCKETS].sum(0) + ALPHA * BUCKETS)
-        weights[BUCKETS] = 0
-        return cls(langs, weights, np.log(seen / seen.sum()))
-
-    def score(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior probability for each row; 'und' and 0 without letters (or without any learned language)."""
+    def sums(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each row with each language, and whether the row has letters."""
         buckets, bounds, letters = grams(column)
         sums = np.tile(self.prior, (len(column), 1))
-        if self.langs:
-            for row, stop in pieces(bounds):
-                a, z = bounds[row], bounds[stop]
-                starts = bounds[row:stop] - a
-                full = bounds[row:stop] < bounds[row + 1 : stop + 1]
-                if full.any():
-                    for x in buckets:
-                        sums[row:stop][full] += np.add.reduceat(self.weights.take(x[a:z], axis=0), starts[full], axis=0)
-        names, score = ["und"] * len(column), np.zeros(len(column))
-        if self.langs:
-            best = sums.argmax(1)
-            post = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-            names = [self.langs[i] if ok else "und" for i, ok in zip(best, letters, strict=True)]
-            score = np.where(letters, post, 0.0)
-        return names, score
+        for row, stop in pieces(bounds):
+            a, z = bounds[row], bounds[stop]
+            starts = bounds[row:stop] - a
+            full = bounds[row:stop] < bounds[row + 1 : stop + 1]
+            if full.any():
+                for x in buckets:
+                    sums[row:stop][full] += np.add.reduceat(self.weights.take(x[a:z], axis=0), starts[full], axis=0)
+        return sums, letters
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score) for each row; 'und' with score 0 for null texts and texts without a letter. Ties: the first language by name."""
-    kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+class Model:
+    """The counts of all languages (lang, bucket, n), read part by part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in parts(b, 1):
-                names, score = shared.value.score(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=[key, "lang_pred", "score"])
+    def __init__(self, counts: DataFrame, langs: list[str], seen: np.ndarray, most: int = MAX_LANGS):
+        self.counts, self.langs, self.most = counts, langs, most
+        self.prior = np.log(seen / seen.sum()) if len(seen) else np.zeros(0)
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    @classmethod
+    def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_LANGS) -> Model:
+        """From all rows of docs."""
+        counts = cut(count(docs, text, lang))
+        rows = sorted((r["lang"], r["n"]) for r in counts.where("bucket = -1").collect())  # a row for each language
+        return cls(counts, [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), most)
 
+    def parts(self) -> Iterator[Part]:
+        for at in range(0, len(self.langs), self.most):
+            langs = self.langs[at : at + self.most]
+            rows = self.counts.where(F.col("lang").between(langs[0], langs[-1]) & (F.col("bucket") >= 0)).toArrow()
+            counts = np.zeros((BUCKETS + 1, len(langs)))
+            counts[rows["bucket"].to_numpy(), np.searchsorted(langs, np.array(rows["lang"].to_pylist(), object)).astype(int)] = rows["n"].to_numpy()
+            weights = np.log(counts + ALPHA) - np.log(counts[:BUCKETS].sum(0) + ALPHA * BUCKETS)
+            weights[BUCKETS] = 0
+            yield Part(langs, weights, self.prior[at : at + self.most])
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is found with a posterior of least at least."""
+
+_OWN = ("__lf_lang", "__lf_best", "__lf_all")
+
+
+def scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """docs with the best language ('und' without letters or learned languages), its log-probability and the logarithm of the sum over all languages. Ties: the first language by name."""
+    out = docs.withColumns({_OWN[0]: F.lit("und"), _OWN[1]: F.lit(float("-inf")), _OWN[2]: F.lit(float("-inf"))})
     at = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    for part in model.parts():
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in parts(b, at):
-                names, score = shared.value.score(part.column(at).cast(pa.string()))
-                yield part.filter(pa.array((np.array(names) != "und") & (score >= least)))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in (p for batch in batches for p in parts(batch, at)):
+                sums, letters = shared.value.sums(b.column(at).cast(pa.string()))
+                best, place = sums.max(1), sums.argmax(1)
+                total = best + np.log(np.exp(sums - best[:, None]).sum(1))
+                names, before, rest = b.column(b.num_columns - 3).to_pylist(), *(b.column(b.num_columns - k).to_numpy() for k in (2, 1))
+                better = letters & (best > before)
+                names = [shared.value.langs[i] if new else old for i, new, old in zip(place.tolist(), better.tolist(), names, strict=True)]
+                own = [pa.array(names, pa.string()), pa.array(np.maximum(best, before)), pa.array(np.logaddexp(total, rest))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], *own], schema=b.schema)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
+def _posterior():
+    return F.when(F.col(_OWN[0]) == "und", F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.exp(F.col(_OWN[1]) - F.col(_OWN[2]))))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score) for each row; 'und' with score 0 for null texts and texts without a letter. Ties: the first language by name."""
+    found = scored(docs.select(F.col(key), F.col(text).cast("string")), model, text)
+    return found.select(F.col(key), F.col(_OWN[0]).alias("lang_pred"), _posterior().alias("score"))
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is found with a posterior of least at least.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null texts and texts without a letter go; repeated rows stay repeated; an empty table stays empty.
+    """
+    return scored(docs, model, text).where((F.col(_OWN[0]) != "und") & (_posterior() >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
