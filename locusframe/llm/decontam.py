@@ -21,9 +21,9 @@ from .common import LOWER, flat_text, map_batches, mix64, parts, span_hashes, wo
 
 WINDOW = 8
 SLOTS = 1 << 18
-#: Window ends that one stretch covers, and benchmark bytes in one broadcast block of patterns.
+#: Window ends that one stretch covers, and benchmark bytes in one broadcast block of patterns (about 150 times as much memory on the driver).
 STRETCH = 128
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 _U = np.uint64
 
 #: After lower-casing A-Z: digits, a-z and all bytes of characters beyond ASCII.
