@@ -4,8 +4,9 @@ The patterns give the base spans. The field's nodes are the tokens of a text tha
 its labels are none and the four kinds. Node potentials weigh the token's shape, chain edges join
 neighbours, and skip edges join distant tokens that are equal or alike (same letters and digits, or one
 held by an observed other). Loopy sum-product passes messages over all edges; tokens under a base span are
-observed. A token that comes out as a kind, and touches no base span, is an added span. All weights are
-learned from the base spans of a bounded sample of rows.
+observed. A token that comes out as a kind, and touches no base span, is an added span. All potentials
+are learned together, by penalised pseudo-likelihood (each token's label given its shape and the labels of its neighbours on
+all edges), from the base spans of a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ SETTLED, ROUNDS_A_NODE = 1e-4, 4
 #: Characters of a key from which a part of an observed token counts as a repeat of it.
 HELD = 8
 
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The patterns, written so that a run of any length is read a bounded number of times: runs are taken whole (++),
+#: and an address or number starts where its run does.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -56,16 +59,16 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """All matches of the four patterns that hold, by start, then kind. A match that fails is dropped, and the search goes on behind it."""
     out: list[Span] = []
-    at = text.find("@")
-    while at >= 0:  # an address lies within one run of its characters
-        begin = at
-        while begin and EMAIL_RUN.match(text[begin - 1]):
-            begin -= 1
-        behind = EMAIL_RUN.match(text, at).end()
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text, begin, behind)]
-        at = text.find("@", behind)
+    at, low = text.find("@"), 0
+    while at >= 0:  # the local part begins where its run of characters does, behind the last at sign and address
+        begin = low + len(text[low:at].rstrip(LOCAL))
+        low = at + 1
+        if begin < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((begin, 0, m.end()))
+            low = m.end()
+        at = text.find("@", at + 1)
     if DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(text):
             if 14 <= m.end() - m.start() and 14 <= len(d := NOT_DIGIT.sub("", m.group())) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -91,12 +94,12 @@ class Nodes:
             behind = max(behind, z)
         free.append((behind, len(text)))
         for a, z in free:  # outside the base spans
-            for m in TOKEN.finditer(text, a, z):
+            for m in TOKEN.finditer(text[a:z]):
                 got = m.group()
                 lead = len(got) - len(got.lstrip("\"'([{<*#$%&!?.,;:="))
                 tail = len(got.rstrip("\"')]}>*#$%&!?.,;:="))
                 if lead < tail:
-                    bounds.append((m.start() + lead, m.start() + tail, 0))
+                    bounds.append((a + m.start() + lead, a + m.start() + tail, 0))
         bounds += [(a, z, k + 1) for a, k, z in spans]
         bounds.sort()
         self.bounds = bounds
@@ -106,13 +109,13 @@ class Nodes:
         self.digits = [NOT_DIGIT.sub("", t) for t in self.texts]
 
     def shapes(self) -> np.ndarray:
+        """A row of 0 and 1 for each token."""
         out = np.zeros((len(self.texts), SHAPES), np.float64)
         for row, (t, d) in enumerate(zip(self.texts, self.digits, strict=True)):
             n = len(d)
             letters = any(c.isalpha() for c in t)
             out[row, [0, 1 + sum(n > x for x in (0, 3, 6, 9, 12, 13, 19))]] = 1
-            out[row, 9:] = ["@" in t, "@" in t and "." in t.rpartition("@")[2], t.count(".") == 3 and not letters, t.startswith("+"), letters, not letters and 13 < n < 20 and luhn(d), "(" in t or "-" in t, 0]
-        out[:, 16] = MATCHED * (self.labels > 0)
+            out[row, 9:] = ["@" in t, "@" in t and "." in t.rpartition("@")[2], t.count(".") == 3 and not letters, t.startswith("+"), letters, not letters and 13 < n < 20 and luhn(d), "(" in t or "-" in t]
         return out
 
     def names(self, i: int) -> set[str]:
@@ -135,13 +138,15 @@ class Nodes:
         whole = [i for i in range(len(self.keys)) if self.labels[i] and len(self.keys[i]) >= HELD]
         starts = np.cumsum([0, *(len(self.keys[i]) + 1 for i in whole)])
         joined = "\n".join([self.keys[i] for i in whole])  # keys have no white space
-        grams = {joined[k : k + HELD] for k in range(len(joined) - HELD + 1)}
+        grams: dict[str, int] = {}
+        for k in range(len(joined) - HELD, -1, -1):
+            grams[joined[k : k + HELD]] = k  # where it is met first
         found: dict[str, int] = {}
         edges: list[tuple[int, int]] = []
         for i, key in enumerate(self.keys):
             if not self.labels[i] and key[:HELD] in grams and key[-HELD:] in grams:
                 if key not in found:
-                    at = joined.find(key)
+                    at = joined.find(key, grams[key[:HELD]])
                     found[key] = whole[int(np.searchsorted(starts, at, "right")) - 1] if at >= 0 else -1
                 if found[key] >= 0:
                     edges.append((min(found[key], i), max(found[key], i)))
@@ -165,29 +170,39 @@ class Nodes:
         return sorted(edges)
 
 
-#: Features of a token, and the scale of the last one, that a pattern matched: the larger, the less a shape alone counts.
-SHAPES, MATCHED = 17, 0.5
+#: Features of a token; neighbours on skip edges with one label that count, when learning; strength of the penalty, and the
+#: prior mean of the weight by which the ends of a skip edge share a label.
+SHAPES, SKIPS, PENALTY, PRIOR = 16, 3, 2e-3, 8.0
 
 
 def statistics(texts: list[str]) -> Counter:
-    """What the field learns from whole texts: how often each ("node", label, *shape), ("chain", label, next label) and ("pairs", agree) is met.
+    """What the field learns from whole texts: how often each (label, label before, label behind, skip neighbours by label, shape) is met; 5: no neighbour.
 
-    There are few distinct ones, whatever the texts' number and length.
+    There are few distinct ones, whatever the texts' number and length. A token without a label that repeats an
+    observed one teaches nothing: it may be what the patterns missed. Tokens on skip edges count a second time without
+    their shape, since what the field is to find are repeats whose shape the patterns don't know.
     """
     out: Counter = Counter()
     for t in texts:
         n = Nodes(t, base_spans(t))
         if n.texts:
-            labels = n.labels.tolist()
-            out.update(("node", y, *x) for y, x in zip(labels, n.shapes().tolist(), strict=True))
-            out.update(("chain", a, z) for a, z in zip(labels, labels[1:]))
-            # without the edges to observed tokens, whose ends differ by construction
-            out.update(("pairs", int(labels[i] == labels[j])) for i, j in {*n.repeats(), *n.held()})
+            labels = [5, *n.labels.tolist(), 5]
+            near = np.zeros((len(n.texts), 5), np.int64)
+            for i, j in {*n.repeats(), *n.held()}:
+                near[i, n.labels[j]] += 1
+                near[j, n.labels[i]] += 1
+            shapes = n.shapes().astype(int).tolist()
+            for i, by in enumerate(np.minimum(near, SKIPS).tolist()):
+                y = labels[i + 1]
+                if y or not any(by[1:]):
+                    out[(y, labels[i], labels[i + 2], *by, *shapes[i])] += 1
+                    if any(by):
+                        out[(y, labels[i], labels[i + 2], *by, *[0] * SHAPES)] += 1
     return out
 
 
 class Field:
-    """Weights of the skip-chain field."""
+    """Potentials of the skip-chain field: of a token's shape and label, of neighbours' labels, and of the labels at a skip edge's ends."""
 
     def __init__(self, nodes: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.nodes, self.chain, self.skip = nodes, chain, skip
@@ -197,26 +212,26 @@ class Field:
         return cls.learned(statistics(texts))
 
     @classmethod
-    def learned(cls, counts: Counter) -> Field:
-        """Node weights by ridge-penalised logistic regression on the base labels, edge weights from how often joined tokens' labels agree; counts: statistics()."""
-        chain, agree, pairs = np.ones((5, 5)), 1.0 + counts[("pairs", 1)], 2.0 + counts[("pairs", 0)] + counts[("pairs", 1)]
-        nodes = sorted(k for k in counts if k[0] == "node")
-        for k, c in counts.items():
-            if k[0] == "chain":
-                chain[k[1:]] += c
-        xs, ys = np.array([k[2:] for k in nodes], np.float64).reshape(-1, SHAPES), np.array([k[1] for k in nodes], np.int64)
-        each = np.array([counts[k] for k in nodes], np.float64)
-        w = np.zeros((SHAPES, 5))
-        target = np.eye(5)[ys]
-        for _ in range(150):
-            s = xs @ w
+    def learned(cls, counts: Counter, rounds: int = 400) -> Field:
+        """All potentials at the largest penalised pseudo-likelihood of counts (statistics()), by gradient ascent."""
+        keys = sorted(counts)
+        each = np.array([counts[k] for k in keys], np.float64)
+        t = np.array(keys, np.int64).reshape(-1, 8 + SHAPES)
+        y, before, behind, by, x = np.eye(5)[t[:, 0]], np.eye(6)[t[:, 1]][:, :5], np.eye(6)[t[:, 2]][:, :5], t[:, 3:8].astype(np.float64), t[:, 8:].astype(np.float64)
+        each /= max(1.0, each.sum())
+        # every label weighs as much as the square root of its share: kinds are rare beside other tokens
+        share = each @ y if len(keys) else np.ones(5)
+        each = each / np.sqrt(np.maximum(y @ share, 1e-12)) if len(keys) else each
+        each /= max(each.sum(), 1e-12)
+        w, chain, skip = np.zeros((SHAPES, 5)), np.zeros((5, 5)), np.full(5, PRIOR)
+        for _ in range(rounds):
+            s = x @ w + before @ chain + behind @ chain.T + by * skip
             p = np.exp(s - s.max(1, keepdims=True, initial=-1e9))
-            p /= p.sum(1, keepdims=True)
-            w -= 1.0 * (xs.T @ (each[:, None] * (p - target)) / max(1, each.sum()) + 2e-2 * w)
-        rate = min(agree / pairs, 1 - 1e-3)
-        weight = np.log(rate / ((1 - rate) / 4))
-        step = np.log(chain / chain.sum(1, keepdims=True)) - np.log(chain.sum(0) / chain.sum())
-        return cls(w, np.clip(0.1 * step, -0.5, 0.5), max(weight, 1.0) * np.eye(5))
+            gap = each[:, None] * (y - p / p.sum(1, keepdims=True))
+            w += x.T @ gap - PENALTY * w
+            chain += 0.5 * (before.T @ gap + gap.T @ behind) - PENALTY * chain
+            skip += (by * gap).sum(0) - PENALTY * (skip - PRIOR)
+        return cls(w, chain, np.diag(np.maximum(skip, 0)))
 
     def marginals(self, n: Nodes) -> np.ndarray:
         """Loopy sum-product over chain and skip edges; tokens with a base label are observed."""
