@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -79,18 +80,25 @@ def test_bpe_is_the_librarys(docs, none):
 
 
 def test_bpe_tree_joins_are_exact():
-    enc = bpe.Encoder(tokenizer_path(), leaf=5, cache_words=50)
+    enc = bpe.Encoder(tokenizer_path(), leaf=2, cache_bytes=5000)
     r = np.random.default_rng(0)
     weird = ["don't 'S 'll''ve x'", "<|startoftext|>a<|endoftext|>", "Σ́σς ﬁ q\x1cz\x85", "a" * 3000, "12345" * 9, "x" * 300 + "é" * 300]
     weird += ["".join(r.choice(list("theingrdo'nxw é!9"), r.integers(1, 400))) for _ in range(150)]
     weird += ["".join(r.choice(SYLLABLES, 200)) for _ in range(20)]
-    for t in weird:
-        ids, text = enc.encode(t)
+    ids, at, text, to = enc.encode(pa.array([*weird, None, ""]))
+    for k, t in enumerate([*weird, "", ""]):
         want = enc.library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and text == enc.library.decode(want, skip_special_tokens=False)
+        assert ids[at[k] : at[k + 1]].tolist() == want and text[to[k] : max(to[k], to[k + 1] - 1)].tobytes().decode() == enc.library.decode(want, skip_special_tokens=False)
     assert enc.trees > 20
 
 
+def test_words_in_the_cache_are_bounded_by_bytes():
+    enc = bpe.Encoder(tokenizer_path(), cache_bytes=20_000)
+    for k in range(30):
+        enc.encode(pa.array([prose(50, k), "y" * 100_000]))
+        assert enc.held <= 10_000 and sum(map(len, enc.new)) + sum(map(len, enc.old)) <= 10_000
+
+
 # 2
 
 
@@ -221,6 +229,61 @@ def test_base_spans_are_the_patterns():
         assert pii.base_spans(t) == plain_spans(t)
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "1" * 1_000_000, "a" * 1_000_000 + "@", "1 " * 300_000, "1.1." * 200_000, "+1" + " " * 1_000_000, "a@" * 300_000, "x" * 1_000_000, "a.b@c.d " * 50_000, "@" + "a" * 500_000 + "."], ids=lambda t: t[-8:])
+def test_long_runs_take_linear_time(text):
+    """A million digits, zeros, one-run addresses: seconds, and no more than three times as long for twice the text."""
+    took = []
+    for t in (text, text + text):
+        start = time.time()
+        pii.Nodes(t, pii.base_spans(t))
+        took.append(time.time() - start)
+    assert took[0] < 10 and took[1] < 4 * took[0] + 1
+    short = text[:60] + text[-60:]
+    assert pii.base_spans(short) == plain_spans(short)
+
+
+def test_marginals_are_those_of_the_field():
+    """Sum-product against enumeration of all labellings: equal without loops, near with them."""
+    r = np.random.default_rng(4)
+    for t, loops in (("12345 777 +1 (555) 555-0199 88", False), ("1234567 22 1234567", True), ("+1 (555) 555-0199 or 15555550199 and 99 then 15555550199", True)):
+        n = pii.Nodes(t, pii.base_spans(t))
+        field = pii.Field(0.4 * r.normal(size=(pii.SHAPES, 5)), 0.4 * r.normal(size=(5, 5)), np.diag([0.5, 0.7, 0.2, 0.4, 0.8]))
+        unary, m = n.shapes() @ field.nodes, len(n.texts)
+        want, skips = np.zeros((m, 5)), n.skips()
+        for y in itertools.product(range(5), repeat=m):
+            if all(seen in (0, k) for seen, k in zip(n.labels, y, strict=True)):
+                w = np.exp(sum(unary[i, k] for i, k in enumerate(y) if not n.labels[i]) + sum(field.chain[a, b] for a, b in zip(y, y[1:])) + sum(field.skip[y[i], y[j]] for i, j in skips))
+                want[range(m), y] += w
+        want /= want.sum(1, keepdims=True)
+        assert np.abs(field.marginals(n) - want).max() < (0.06 if loops else 2e-3)
+
+
+def test_field_is_learned_by_pseudo_likelihood():
+    """The gradient of the penalised pseudo-likelihood vanishes at the learned potentials, and kinds repeat."""
+    sample = [f"call +1 (555) 555-{k:04d} or {k}1 items, again +1 (555) 555-{k:04d}" for k in range(50)] + [f"order {k:03d}-555-321-9 and 99" for k in range(50)]
+    counts = pii.statistics(sample)
+    f, g = pii.Field.learned(counts, 4000), pii.Field.learned(counts, 4400)
+    assert np.abs(f.nodes - g.nodes).max() < 1e-2 and np.abs(f.skip - g.skip).max() < 1e-2
+    assert f.skip[4, 4] > 1 and f.nodes[12, 4] > f.nodes[12, 0]  # a plus sign
+
+
+def test_planted_repeats_are_found_and_others_left():
+    """Numbers that repeat an observed one in another form, and as many that repeat none."""
+    r = np.random.default_rng(8)
+    num = lambda: f"{r.integers(200, 999)}{r.integers(200, 999)}{r.integers(1000, 9999)}"
+    texts_, forms = [], lambda x: [f"1{x}", f"1-{x[:3]}-{x[3:6]}-{x[6:]}", x]
+    for k in range(200):
+        x, other = num(), num()
+        again, free = forms(x)[k % 3], forms(other)[k % 3]
+        texts_.append((f"ring +1{x} today. {prose(30, k)} so {again} it was, not {free} {prose(5, k + 1)}", again, free))
+    field = pii.Field.fit([t for t, _, _ in texts_])
+    found = left = 0
+    for t, again, free in texts_:
+        got = {t[a:z] for a, _, z in field.added(t, pii.base_spans(t))}
+        found, left = found + (again in got), left + (free not in got)
+    assert found >= 190 and left >= 190
+
+
 def test_personal_data(docs, none):
     field = pii.fit(docs)
     rows = pii.detect(docs, field).collect()
@@ -395,8 +458,14 @@ def test_language_model_is_naive_bayes(spark, docs, none):
     train = spark.createDataFrame([(k, t, l) for l, ts in (("de", de), ("en", en)) for k, t in enumerate(ts)] + [(9, None, "fr"), (10, "x", None)], "doc_id long, text string, lang string")
     model = langid.Model.fit(train)
     assert model.langs == ["de", "en"]
-    names, score = model.score(pa.array(["und die katze ist da", "the dog is there", None, "12 34 !", "", "und"]))
+    some = spark.createDataFrame(list(enumerate(["und die katze ist da", "the dog is there", None, "12 34 !", "", "und"])), "doc_id long, text string").coalesce(1)
+    found = sorted(langid.predict(some, model).collect())
+    names, score = [r["lang_pred"] for r in found], np.array([r["score"] for r in found])
     assert names == ["de", "en", "und", "und", "und", "de"] and (score[2:5] == 0).all() and (score[[0, 1]] > 0.5).all()
+    one = langid.Model.fit(train, most=1)  # a matrix for each language
+    assert len(list(one.parts())) == 2
+    again = sorted(langid.predict(some, one).collect())
+    assert [r["lang_pred"] for r in again] == names and [r["score"] for r in again] == pytest.approx(score)
     # the same by hand, n-gram by n-gram
     buckets, bounds, _ = langid.grams(pa.array([*de, *en, "the dog is there"]))
     counts = np.zeros((langid.BUCKETS, 2))
