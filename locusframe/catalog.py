@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import reads, search
+from .plans import reads, search, stored
 
-QUERIES: dict = {**search.QUERIES, **reads.QUERIES}
-ORACLES: dict = {**search.ORACLES, **reads.ORACLES}
+QUERIES: dict = {**search.QUERIES, **reads.QUERIES, **stored.QUERIES}
+ORACLES: dict = {**search.ORACLES, **reads.ORACLES, **stored.ORACLES}

@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.contigs import resolve
+from .functions.contigs import natural_order, resolve
 from .operators import cohort, intervals
 from .sources import files
+from .sources.convert import convert
 from .sources.store import Store, concat, split, write
 
 #: One past the last position that a region may have.
@@ -37,9 +38,14 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--merge-overlapping", action="store_true")
 
     command("index", "vcf", "out")
-    w = command("write", "vcf", "out")
+    w = command("write", "source", "out")
     w.add_argument("--dosage")
     w.add_argument("--haploid", action="store_true")
+    w.add_argument("--raw", action="store_true", help="records as they are, with the first ALT's calls")
+    w.add_argument("--reference")
+    w.add_argument("--alt-policy", choices=["skip", "error"], default="skip")
+    w.add_argument("--ref-policy", choices=["e", "x", "none"], default="e")
+    w.add_argument("--route", choices=["auto", "dense", "var_key"], default="auto")
     subset(w)
     subset(command("view", "store", "out"))
     c = command("concat", "out")
@@ -57,6 +63,8 @@ def _regions(spark: SparkSession, args, contigs: list[str]) -> DataFrame | None:
     else:
         return None
     names = {r["chrom"]: resolve(r["chrom"], contigs) for r in found.select("chrom").distinct().collect()}
+    if lost := sorted(a for a, b in names.items() if not b):
+        raise ValueError(f"no such contigs: {lost}")
     known = spark.createDataFrame([(a, b) for a, b in names.items() if b], "chrom string, name string")
     found = found.join(F.broadcast(known), "chrom").drop("chrom").withColumnRenamed("name", "chrom")
     merged = intervals.check_regions(found, args.merge_overlapping)
@@ -81,22 +89,41 @@ def _cut(variants: DataFrame, calls: DataFrame, regions: DataFrame | None, args,
     return move(variants), move(kept)
 
 
+def _read(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Variants, calls and sample names of a VCF, a .pgen with its .pvar and .psam, or a folder or manifest of VCFs of one sample each."""
+    if args.source.endswith(".pgen"):
+        base = args.source.removesuffix(".pgen")
+        names = [r["name"] for r in files.psam(spark, f"{base}.psam").orderBy("sample_ord").collect()]
+        records = files.pvar(spark, f"{base}.pvar").withColumnRenamed("v_idx", "rec")
+        genotypes = files.pgen(spark, args.source, len(names)).withColumnsRenamed({"v_idx": "rec", "sample_ord": "sample_id"}).withColumn("dosage", F.lit(None).cast("float"))
+        rank = natural_order(F.col("chrom"))
+    else:
+        paths = files.sources(spark, args.source)
+        vcf = files.Vcf(spark, paths[0]) if paths == [args.source] else files.VcfList(spark, paths)
+        if args.raw:
+            return vcf.variants(), vcf.calls(dosage=args.dosage), vcf.samples
+        names, records, rank = vcf.samples, vcf.records(), vcf.contig_rank()
+        genotypes = vcf.genotypes(args.dosage, carried=True).select("rec", F.col("sample_ord").cast("long").alias("sample_id"), "hap", "allele", "dosage")
+    reference = files.fasta(spark, args.reference) if args.reference else None
+    variants, calls = convert(records, genotypes, rank, len(names), 1 if args.haploid else 2, reference, alt_policy=args.alt_policy, ref_policy=None if args.ref_policy == "none" else args.ref_policy, policy=args.route)
+    return variants, calls, names
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("locusframe").getOrCreate()
     if args.command == "index":
         files.Vcf(spark, args.vcf).variants().write.mode("overwrite" if args.overwrite else "error").partitionBy("chrom").parquet(args.out)
     elif args.command == "write":
-        vcf = files.Vcf(spark, args.vcf)
-        variants, calls = vcf.variants(), vcf.calls(dosage=args.dosage)
+        variants, calls, all_ = _read(spark, args)
         calls = calls if args.dosage else calls.drop("dosage")
         if args.haploid:
             calls = calls.select("sample_id", F.lit(0).alias("hap"), "v_idx", "chrom", "pos").distinct()
-        names = _samples(args, vcf.samples)
+        names = _samples(args, all_)
         present = [r["chrom"] for r in variants.select("chrom").distinct().collect()]
         regions = _regions(spark, args, present)
-        if regions is not None or names != vcf.samples:
-            variants, calls = _cut(variants, calls, regions, args, names, vcf.samples)
+        if regions is not None or names != all_:
+            variants, calls = _cut(variants, calls, regions, args, names, all_)
         write(args.out, variants, calls, names, 1 if args.haploid else 2, args.overwrite)
     elif args.command == "view":
         if not any((args.regions, args.regions_file, args.samples, args.samples_file)):

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .indexing import offsets
+from .indexing import offsets, row_index
 
 
-def carriers(variants: DataFrame, regions: DataFrame, calls: DataFrame, width: int = intervals.BIN) -> DataFrame:
+def carriers(variants: DataFrame, regions: DataFrame, calls: DataFrame) -> DataFrame:
     """(q, sample_id, hap, v_idx, pos, ilen, ...) of every carried variant that overlaps a region; joined by variant id, so hot variants are split by adaptive joins."""
-    hits = intervals.overlap_join(variants, regions, width).select("q", "v_idx", "pos", "ilen", "alt")
+    hits = intervals.overlap_join(variants, regions).select("q", "v_idx", "pos", "ilen", "alt")
     return hits.join(calls, "v_idx")
 
 
@@ -39,13 +39,44 @@ def decode(carried: DataFrame) -> DataFrame:
     return carried.withColumn("item", item).select("q", "sample_id", "hap", (F.row_number().over(w) - 1).cast("long").alias("ord"), "v_idx", "item.pos", "item.ilen", "item.allele")
 
 
-def region_counts(carried: DataFrame, regions: DataFrame | None = None, samples: DataFrame | None = None, ploidy: int = 2) -> DataFrame:
-    """(q, sample_id, hap, n); with regions and samples also the zeros."""
-    n = carried.groupBy("q", "sample_id", "hap").agg(F.count("*").alias("n"))
-    if regions is None or samples is None:
-        return n
-    grid = regions.select("q").crossJoin(F.broadcast(samples.select("sample_id"))).withColumn("hap", F.explode(F.sequence(F.lit(0), F.lit(ploidy - 1))))
-    return grid.join(n, ["q", "sample_id", "hap"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+def ordinals(samples: DataFrame) -> DataFrame:
+    """(sample_id, sample_ord): samples numbered from 0 by id."""
+    return row_index(samples.select("sample_id"), [F.floor(F.col("sample_id") / 65536)], ["sample_id"], "sample_ord")
+
+
+def cells(values: DataFrame, regions: DataFrame, samples: DataFrame, ploidy: int = 2) -> tuple[DataFrame, int]:
+    """(q, items) for every region: its cells that have a value (q, sample_id, hap, v), as a sorted list of (at, v), at counting haplotypes by sample; and the number of cells that each region has."""
+    placed = values.join(ordinals(samples), "sample_id").select("q", (F.col("sample_ord") * ploidy + F.col("hap")).cast("int").alias("at"), "v")
+    lists = placed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("items"))
+    none = F.array().cast(lists.schema["items"].dataType)
+    return regions.select("q").join(lists, "q", "left").withColumn("items", F.coalesce("items", none)), samples.count() * ploidy
+
+
+#: How many cells without a value stand before item x, the i-th of its list.
+GAP = "CAST(x.at - IF(i = 0, -1, items[i - 1].at) - 1 AS INT)"
+
+
+def _tail(size: int) -> str:
+    return f"CAST({size - 1} - IF(size(items) = 0, -1, element_at(items, -1).at) AS INT)"
+
+
+def region_counts(carried: DataFrame, regions: DataFrame, samples: DataFrame, ploidy: int = 2) -> DataFrame:
+    """(q, counts) for every region: how many variants each haplotype of each sample carries there, in order of samples, zeros included.
+
+    Only cells that have calls are shuffled; the zeros between them are filled in row by row.
+    """
+    n = carried.groupBy("q", "sample_id", "hap").agg(F.count("*").alias("v"))
+    found, size = cells(n, regions, samples, ploidy)
+    filled = f"concat(flatten(transform(items, (x, i) -> concat(array_repeat(0L, {GAP}), array(x.v)))), array_repeat(0L, {_tail(size)}))"
+    return found.select("q", F.expr(filled).alias("counts"))
+
+
+def region_lists(items: DataFrame, regions: DataFrame, samples: DataFrame, ploidy: int = 2, empty: str = "", separator: str = ";") -> DataFrame:
+    """(q, cells) for every region: the text v of each haplotype of each sample (items: q, sample_id, hap, v), in order of samples, empty where it has none."""
+    found, size = cells(items, regions, samples, ploidy)
+    some = f"array_join(transform(items, (x, i) -> concat(repeat('{empty}{separator}', {GAP}), x.v)), '{separator}')"
+    none = f"concat(repeat('{empty}{separator}', {size - 1}), '{empty}')"
+    return found.select("q", F.expr(f"IF(size(items) = 0, {none}, concat({some}, repeat('{separator}{empty}', {_tail(size)})))").alias("cells"))
 
 
 def end_keys(variants: DataFrame, regions: DataFrame) -> DataFrame:
@@ -84,8 +115,6 @@ def allele_frequency(variants: DataFrame, calls: DataFrame, copies: int) -> Data
 
 def compact(variants: DataFrame, calls: DataFrame) -> DataFrame:
     """(v_idx, new_idx, mac): the variants that someone carries, renumbered densely; none left is an error for a writer."""
-    from .indexing import row_index
-
     mac = calls.groupBy("v_idx").agg(F.count("*").alias("mac"))
     kept = variants.select("v_idx").join(mac, "v_idx")
     return row_index(kept, [F.floor(F.col("v_idx") / 65536)], ["v_idx"], "new_idx").select("v_idx", "new_idx", "mac")

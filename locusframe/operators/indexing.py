@@ -32,3 +32,12 @@ def offsets(counts: DataFrame, key: str = "q", n: str = "n") -> DataFrame:
 def chunks(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """df with chunk, the number from 0 of the near-equal part that a row of its group is in (the first parts are the longer ones)."""
     return df.withColumn("chunk", (F.ntile(n).over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
+
+
+def running_start(df: DataFrame, by: str, order: str, size: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with name: the sum of size over the rows of by that stand before, by order; added up in blocks of order, so no task sees a whole group."""
+    keyed = df.withColumn("__b", F.floor(F.col(order) / block))
+    sums = keyed.groupBy(by, "__b").agg(F.sum(size).alias("__n"))
+    before = sums.withColumn("__o", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    within = F.coalesce(F.sum(size).over(Window.partitionBy(by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return keyed.withColumn("__w", within).join(before, [by, "__b"]).withColumn(name, F.col("__o") + F.col("__w")).drop("__b", "__w", "__o")

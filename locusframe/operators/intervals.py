@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bases of a bin, and regions up to which they are broadcast rather than shuffled.
-BIN = 1 << 16
+#: Bases of the narrowest bins (each next level has bins four times as wide), and regions up to which they are broadcast rather than shuffled.
+NARROWEST = 16
 BROADCAST_REGIONS = 100_000
 
 
@@ -17,49 +17,81 @@ def overlaps(v_start: Column, v_end: Column, q_start: Column, q_end: Column) ->
     return (v_start < q_end) & (v_end > q_start)
 
 
-def overlap_join(variants: DataFrame, regions: DataFrame, width: int = BIN, extra: Column | None = None) -> DataFrame:
-    """Every (region, variant) pair that overlaps: an equi-join on chromosome and bin, each pair kept in its first common bin only.
+def _level(length: Column) -> Column:
+    """Number of the narrowest level whose bins are no shorter than an interval."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / NARROWEST) / 2 - 1e-9)).cast("int")
 
-    Empty regions match nothing; negative starts count as 0. Without bins the plan would pair all rows of a
-    chromosome; with them a pair meets at most once a shared bin, and a hot bin is split by adaptive skew joins.
+
+def _width(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(NARROWEST).cast("long"), level * 2)
+
+
+def _within(points: DataFrame, at: str, spans: DataFrame, start: str, end: str, keep: Column, every: bool = False) -> DataFrame:
+    """(point, span) pairs of a chromosome where the point lies in [start, end) and keep holds.
+
+    A span is put into the at most two bins that it meets at the level of its length, a point into its bin at each level that
+    some span has. So no span makes more than two rows, and a pair that is tried and fails lies within a few lengths of the span.
+    """
+    spans = spans.withColumn("__level", _level(F.col(end) - F.col(start)))
+    levels = sorted(r[0] for r in spans.select("__level").distinct().collect())  # a row for each level
+    w = _width(F.col("__level"))
+    spans = spans.withColumn("__bin", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / w), F.floor((F.col(end) - 1) / w)))))
+    points = points.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("__bin", F.floor(F.col(at) / _width(F.col("__level"))))
+    met = points.join(spans, ["chrom", "__level", "__bin"])
+    if every:  # what is tried, for tests
+        return met
+    return met.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)) & keep).drop("__level", "__bin")
+
+
+def points_in(points: DataFrame, at: str, spans: DataFrame, start: str, end: str) -> DataFrame:
+    """points (chrom, at, ...) with each of the spans (chrom, start, end, ...) that holds them, half-open."""
+    return _within(points, at, spans, start, end, F.lit(True))
+
+
+def overlap_join(variants: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every (region, variant) pair that overlaps, once: the variant starts in the region, or the region behind the start of the variant and in it.
+
+    Both cases are equi-joins on chromosome, level and bin (bins as wide as the intervals they hold), so the work follows
+    the pairs that there are, however dense the positions or long some intervals; hot bins are split by adaptive skew joins.
+    Empty regions match nothing; negative starts count as 0.
     """
-    lo = lambda c: F.floor(c / width).cast("long")
     q = regions.withColumn("q_start", F.greatest("q_start", F.lit(0))).where("q_end > q_start")
-    q = q.withColumn("__bin", F.explode(F.sequence(lo(F.col("q_start")), lo(F.col("q_end") - 1))))
-    v = variants.withColumn("__bin", F.explode(F.sequence(lo(F.col("v_start")), lo(F.greatest("v_start", F.col("v_end") - 1)))))
-    met = v.join(q, ["chrom", "__bin"]).where(overlaps(F.col("v_start"), F.col("v_end"), F.col("q_start"), F.col("q_end")))
-    return met.where(F.col("__bin") == lo(F.greatest("v_start", "q_start"))).drop("__bin")
+    columns = ["chrom", *(c for c in variants.columns if c != "chrom"), *(c for c in q.columns if c != "chrom")]
+    inside = _within(variants, "v_start", q, "q_start", "q_end", F.col("v_end") > F.col("q_start"))
+    longer = variants.where("v_end > v_start + 1")
+    behind = _within(q, "q_start", longer, "v_start", "v_end", F.col("q_start") > F.col("v_start"))
+    return inside.select(columns).union(behind.select(columns))
 
 
-def count_overlaps(variants: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def count_overlaps(variants: DataFrame, regions: DataFrame) -> DataFrame:
     """(q, n) for every region, 0 where nothing overlaps."""
-    n = overlap_join(variants, regions, width).groupBy("q").agg(F.count("*").alias("n"))
+    n = overlap_join(variants, regions).groupBy("q").agg(F.count("*").alias("n"))
     return regions.select("q").join(n, "q", "left").select("q", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def id_ranges(variants: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def id_ranges(variants: DataFrame, regions: DataFrame) -> DataFrame:
     """(q, first_v, end_v): the smallest half-open id range that holds all overlapping variants; nulls where there is none."""
-    r = overlap_join(variants, regions, width).groupBy("q").agg(F.min("v_idx").alias("first_v"), (F.max("v_idx") + 1).alias("end_v"))
+    r = overlap_join(variants, regions).groupBy("q").agg(F.min("v_idx").alias("first_v"), (F.max("v_idx") + 1).alias("end_v"))
     return regions.select("q").join(r, "q", "left")
 
 
-def position_members(variants: DataFrame, regions: DataFrame, mode: str, width: int = BIN) -> DataFrame:
+def position_members(variants: DataFrame, regions: DataFrame, mode: str) -> DataFrame:
     """(q, v_idx): pos: the start lies in the region; record: in the region and one base behind; variant: the extent overlaps."""
     if mode == "variant":
-        return overlap_join(variants, regions, width).select("q", "v_idx")
+        return overlap_join(variants, regions).select("q", "v_idx")
     more = {"pos": 0, "record": 1}[mode]
     points = variants.select("chrom", "v_idx", "v_start", (F.col("v_start") + 1).alias("v_end"))
-    return overlap_join(points, regions.withColumn("q_end", F.col("q_end") + more), width).select("q", "v_idx")
+    return overlap_join(points, regions.withColumn("q_end", F.col("q_end") + more)).select("q", "v_idx")
 
 
-def allele_members(alleles: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def allele_members(alleles: DataFrame, regions: DataFrame) -> DataFrame:
     """(q, v_idx) where the anchor-trimmed extent of any allele (v_idx, chrom, pos, ref, alt) overlaps; an insertion is the point between two bases."""
     same = "aggregate(sequence(1, least(length(ref), length(alt))), 0, (n, i) -> IF(n = i - 1 AND substring(ref, i, 1) = substring(alt, i, 1), i, n))"
     a = alleles.withColumn("__p", F.expr(same))
     start = F.col("pos") - 1 + F.col("__p")
     end = F.col("pos") - 1 + F.greatest(F.length("ref"), F.col("__p"))
     a = a.select("v_idx", "chrom", start.alias("v_start"), F.greatest(end, start).alias("e")).withColumn("v_end", F.greatest("e", F.col("v_start") + 1))
-    met = overlap_join(a, regions, width)
+    met = overlap_join(a, regions)
     inside = F.when(F.col("e") > F.col("v_start"), F.lit(True)).otherwise((F.col("v_start") > F.col("q_start")) & (F.col("v_start") < F.col("q_end")))
     return met.where(inside).select("q", "v_idx").distinct()
 
@@ -99,11 +131,11 @@ def covered_contigs(variants: DataFrame, regions: DataFrame) -> DataFrame:
     return hit.groupBy("chrom").agg(F.coalesce(F.bool_or((F.col("q_start") <= 0) & (F.col("q_end") >= F.col("last"))), F.lit(False)).alias("covered"))
 
 
-def point_lookup(points: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
+def point_lookup(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """points (p, chrom, pos0) with the value of the disjoint interval (chrom, start, end, value) that holds each, else null."""
     regions = points.select(F.col("p").alias("q"), "chrom", F.col("pos0").alias("q_start"), (F.col("pos0") + 1).alias("q_end"))
     spans = intervals.select("chrom", F.col("start").alias("v_start"), F.col("end").alias("v_end"), "value")
-    return points.join(overlap_join(spans, regions, width).select(F.col("q").alias("p"), "value"), "p", "left")
+    return points.join(overlap_join(spans, regions).select(F.col("q").alias("p"), "value"), "p", "left")
 
 
 def strand_intervals(genes: DataFrame) -> DataFrame:
@@ -121,7 +153,7 @@ def strand_intervals(genes: DataFrame) -> DataFrame:
     return island.groupBy("chrom", "__i", "value").agg(F.min("at").alias("start"), F.max("next").alias("end")).select("chrom", "start", "end", "value")
 
 
-def closed_join(variants: DataFrame, cds: DataFrame, width: int = BIN) -> DataFrame:
+def closed_join(variants: DataFrame, cds: DataFrame) -> DataFrame:
     """Variants against 1-based closed intervals (start, end): both ends belong."""
     q = cds.withColumnsRenamed({"start": "c_start", "end": "c_end"}).withColumns({"q_start": F.col("c_start") - 1, "q_end": F.col("c_end")})
-    return overlap_join(variants, q, width)
+    return overlap_join(variants, q)

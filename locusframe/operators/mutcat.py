@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .haplotype import doublets
 
-# The published order of substitution types, doublets by reference pair, and code ranges.
+# The published order of substitution types, and of the 78 doublet types (the COSMIC catalogue DBS78); code ranges.
 SUBSTITUTIONS = ("C>A", "C>G", "C>T", "T>A", "T>C", "T>G")
-DOUBLETS = {
-    "AC": "CA CG CT GA GG GT TA TG TT",
-    "AT": "CA CC CG GA GC TA",
-    "CC": "AA AG AT GA GG GT TA TG TT",
-    "CG": "AT GC GT TA TC TT",
-    "CT": "AA AC AG GA GC GG TA TC TG",
-    "GC": "AA AG AT CA CG TA",
-    "TA": "AT CG CT GC GG GT",
-    "TC": "AA AG AT CA CG CT GA GG GT",
-    "TG": "AA AC AT CA CC CT GA GC GT",
-    "TT": "AA AC AG CA CC CG GA GC GG",
-}
+DOUBLETS = (
+    "AC>CA", "AC>CG", "AC>CT", "AC>GA", "AC>GG", "AC>GT", "AC>TA", "AC>TG", "AC>TT",
+    "AT>CA", "AT>CC", "AT>CG", "AT>GA", "AT>GC", "AT>TA",
+    "CC>AA", "CC>AG", "CC>AT", "CC>GA", "CC>GG", "CC>GT", "CC>TA", "CC>TG", "CC>TT",
+    "CG>AT", "CG>GC", "CG>GT", "CG>TA", "CG>TC", "CG>TT",
+    "CT>AA", "CT>AC", "CT>AG", "CT>GA", "CT>GC", "CT>GG", "CT>TA", "CT>TC", "CT>TG",
+    "GC>AA", "GC>AG", "GC>AT", "GC>CA", "GC>CG", "GC>TA",
+    "TA>AT", "TA>CG", "TA>CT", "TA>GC", "TA>GG", "TA>GT",
+    "TC>AA", "TC>AG", "TC>AT", "TC>CA", "TC>CG", "TC>CT", "TC>GA", "TC>GG", "TC>GT",
+    "TG>AA", "TG>AC", "TG>AT", "TG>CA", "TG>CC", "TG>CT", "TG>GA", "TG>GC", "TG>GT",
+    "TT>AA", "TT>AC", "TT>AG", "TT>CA", "TT>CC", "TT>CG", "TT>GA", "TT>GC", "TT>GG",
+)
 STRANDS = ("T", "U", "N", "B")
 OFFSETS = {"SBS96": (0, 96), "DBS78": (96, 174), "ID83": (174, 257), "SBS384": (257, 641), "SBS192": (257, 449)}
 PARTNER, UNCLASSIFIED, NOT_ANNOTATED = -1, -2, -4
@@ -37,7 +34,7 @@ def labels(kind: str) -> list[str]:
     if kind == "SBS96":
         return sbs
     if kind == "DBS78":
-        return [f"{r}>{a}" for r, alts in DOUBLETS.items() for a in alts.split()]
+        return list(DOUBLETS)
     if kind == "ID83":
         one = [f"1:{k}:{b}:{n}" for k in ("Del", "Ins") for b in "CT" for n in range(6)]
         more = [f"{s}:{k}:R:{n}" for k in ("Del", "Ins") for s in range(2, 6) for n in range(6)]
@@ -78,53 +75,41 @@ def dbs78(df: DataFrame, ref: str, alt: str, name: str) -> DataFrame:
     return b.withColumn(name, F.coalesce("__c1", "__c", F.lit(UNCLASSIFIED))).drop("__c1", "__c")
 
 
-def indel_code(window: str | None, ref: str, alt: str) -> int:
-    """Code of an indel; window: the reference from the base behind the anchor on, long enough for the repeats."""
-    if not window and window != "" or not ref or not alt or ref[0] != alt[0] or len(ref) == len(alt):
-        return UNCLASSIFIED
-    deletion = len(ref) > len(alt)
-    unit = (ref if deletion else alt)[1:]
-    if not unit or set(unit) - set("ACGT"):
-        return UNCLASSIFIED
-    n = len(unit)
-    copies = 0
-    while window[copies * n : (copies + 1) * n] == unit:
-        copies += 1
-    if deletion and n > 1 and copies <= 1:
-        match = max((k for k in range(1, n) if window[:k] == unit[:k] and len(window) >= k), default=0)
-        if match:
-            size = min(n, 5) - 2
-            return OFFSETS["ID83"][0] + 72 + sum(HOMOLOGY[:size]) + min(match, HOMOLOGY[size]) - 1
-    if deletion and not copies:
-        return UNCLASSIFIED
-    repeats = min(copies - deletion, 5)
-    if n == 1:
-        base = 0 if unit in "CG" else 1
-        return OFFSETS["ID83"][0] + (0 if deletion else 12) + base * 6 + repeats
-    return OFFSETS["ID83"][0] + 24 + (0 if deletion else 24) + (min(n, 5) - 2) * 6 + repeats
-
-
-def id83(df: DataFrame, window: str, ref: str, alt: str, name: str) -> DataFrame:
-    """df with the code of each indel, on Arrow batches."""
-
-    @F.pandas_udf("int")
-    def code(w: pd.Series, r: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([indel_code(*x) for x in zip(w, r, a, strict=True)], dtype="int32")
-
-    return df.withColumn(name, code(window, ref, alt))
+def indel_code(window: str, ref: str, alt: str) -> Column:
+    """Code of an indel (SQL expressions); window: the reference from the base behind the anchor on, long enough for six repeats of the unit.
+
+    UNCLASSIFIED without a window or a common anchor, for other letters, and for a deleted base that the window does not start with.
+    """
+    first = OFFSETS["ID83"][0]
+    deletion, unit = f"(length({ref}) > length({alt}))", f"substring(IF(length({ref}) > length({alt}), {ref}, {alt}), 2)"
+    ok = f"{window} IS NOT NULL AND length({ref}) <> length({alt}) AND left({ref}, 1) = left({alt}, 1) AND left({ref}, 1) <> '' AND __u RLIKE '^[ACGT]+$'"
+    copies = f"aggregate(sequence(0, 5), 0, (k, i) -> IF(k = i AND substring({window}, i * length(__u) + 1, length(__u)) = __u, k + 1, k))"
+    match = f"IF(length(__u) > 1, aggregate(sequence(1, greatest(length(__u) - 1, 1)), 0, (m, k) -> IF(m = k - 1 AND substring({window}, k, 1) = substring(__u, k, 1), k, m)), 0)"
+    before = [sum(HOMOLOGY[:i]) for i in range(len(HOMOLOGY))]
+    pick = lambda values, size: f"element_at(array({', '.join(map(str, values))}), {size})"
+    size = "(least(length(__u), 5) - 1)"  # from 1 for two bases
+    repeats = "least(__k - CAST(__d AS INT), 5)"
+    code = f"""CASE WHEN NOT ({ok}) THEN {UNCLASSIFIED}
+        WHEN __d AND length(__u) > 1 AND __k <= 1 AND __m > 0 THEN {first + 71} + {pick(before, size)} + least(__m, {pick(HOMOLOGY, size)})
+        WHEN __d AND __k = 0 THEN {UNCLASSIFIED}
+        WHEN length(__u) = 1 THEN {first} + IF(__d, 0, 12) + IF(__u IN ('C', 'G'), 0, 6) + {repeats}
+        ELSE {first + 24} + IF(__d, 0, 24) + ({size} - 1) * 6 + {repeats} END"""
+    # names for what recurs, by way of lists of one
+    named = f"transform(array(named_struct('u', {unit}, 'd', {deletion})), __a -> {{}})[0]"
+    inner = code.replace("__u", "__a.u").replace("__d", "__a.d").replace("__k", f"({copies.replace('__u', '__a.u')})").replace("__m", f"({match.replace('__u', '__a.u')})")
+    return F.expr(f"CAST({named.format(inner)} AS INT)")
 
 
 def classify(variants: DataFrame) -> DataFrame:
     """variants (v_idx, ref, alt, five, three, window) with code: SNVs, two-base substitutions and indels; the rest is UNCLASSIFIED."""
     both = dbs78(variants, "ref", "alt", "__dbs")
-    indels = id83(both.withColumn("__w", F.when(F.length("ref") != F.length("alt"), F.col("window"))), "__w", "ref", "alt", "__id")
     code = (
         F.when((F.length("ref") == 1) & (F.length("alt") == 1), sbs96("five", "ref", "alt", "three"))
         .when((F.length("ref") == 2) & (F.length("alt") == 2), F.col("__dbs"))
-        .when(F.length("ref") != F.length("alt"), F.col("__id"))
+        .when(F.length("ref") != F.length("alt"), indel_code("window", "ref", "alt"))
         .otherwise(UNCLASSIFIED)
     )
-    return indels.withColumn("code", code.cast("int")).drop("__dbs", "__id", "__w")
+    return both.withColumn("code", code.cast("int")).drop("__dbs")
 
 
 def call_codes(calls: DataFrame, classified: DataFrame) -> DataFrame:
@@ -176,12 +161,3 @@ def reference_context(variants: DataFrame, reference: DataFrame, size: int) -> D
         out = out.withColumn("__c", F.floor(at / size)).join(base(name), ["chrom", "__c"], "left")
         out = out.withColumn(name, F.when(at < 0, "").otherwise(F.coalesce(F.substring(F.upper(f"__s{name}"), (F.pmod(at, F.lit(size)) + 1).cast("int"), F.lit(1)), F.lit("")))).drop("__c", f"__s{name}")
     return out
-
-
-def batches_of(df: DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows to the driver, one partition at a time."""
-    import itertools
-
-    rows = df.toLocalIterator(prefetchPartitions=True)
-    while part := list(itertools.islice(rows, 10_000)):
-        yield pd.DataFrame(part, columns=df.columns)

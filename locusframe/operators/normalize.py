@@ -53,20 +53,38 @@ def atoms(records: DataFrame) -> DataFrame:
     return r.withColumn("__atom", F.explode(F.expr(f"concat({snvs}, {indel})"))).select(*[c for c in records.columns], "__atom.*")
 
 
-def left_align(atoms_: DataFrame, reference: DataFrame) -> DataFrame:
-    """Move indels (chrom, atom_pos, atom_ilen, atom_alt) as far left as the reference (chrom, chunk, seq of chunk_size bases) lets them, at most MOST_SHIFT.
+def with_sequence(records: DataFrame, reference: DataFrame, size: int) -> DataFrame:
+    """records (chrom, pos 1-based, ref) with __seen: the reference's bases (chrom, chunk, seq of size bases) under ref, shorter at a contig's end.
 
-    Each atom meets the bases to its left (two or more chunks), by an equi-join on chromosome and chunk; the
-    rotation runs on Arrow batches.
+    A REF meets the chunks that it covers (one, as a rule) by an equi-join.
     """
-    size = reference.agg(F.max(F.length("seq"))).first()[0] or 1
-    size = max(size, 2 * MOST_SHIFT)
-    whole = reference.groupBy("chrom", F.floor(F.col("chunk") * F.lit(reference.agg(F.max(F.length("seq"))).first()[0] or 1) / size).alias("big")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    near = whole.alias("r").join(whole.select("chrom", (F.col("big") + 1).alias("big"), F.col("seq").alias("left")), ["chrom", "big"], "left").join(whole.select("chrom", (F.col("big") - 1).alias("big"), F.col("seq").alias("right")), ["chrom", "big"], "left")
-    placed = atoms_.withColumn("big", F.floor(F.col("atom_pos") / size)).join(near, ["chrom", "big"], "left")
-    windowed = placed.withColumn("__seq", F.concat(F.coalesce("left", F.lit("")), "seq", F.coalesce("right", F.lit("")))).withColumn("__at", F.col("atom_pos") - F.col("big") * size + F.length(F.coalesce("left", F.lit("")))).drop("left", "right", "seq", "big")
-    keep = [c for c in atoms_.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in atoms_.select(*keep).schema)
+    at = F.col("pos") - 1
+    r = records.withColumn("__row", F.monotonically_increasing_id())
+    met = r.withColumn("chunk", F.explode(F.sequence(F.floor(at / size), F.floor((at + F.length("ref") - 1) / size)))).join(reference.select("chrom", "chunk", "seq"), ["chrom", "chunk"], "left")
+    lo = F.greatest(at - F.col("chunk") * size, F.lit(0)).cast("int")
+    part = F.substring(F.coalesce("seq", F.lit("")), lo + 1, F.least(F.length("ref").cast("long"), at + F.length("ref") - F.greatest(at, F.col("chunk") * size)).cast("int"))
+    keep = [F.first(c).alias(c) for c in records.columns]
+    joined = met.withColumn("__part", F.struct("chunk", part.alias("s"))).groupBy("__row").agg(*keep, F.array_join(F.transform(F.array_sort(F.collect_list("__part")), lambda x: x["s"]), "").alias("__seen"))
+    return joined.drop("__row")
+
+
+def left_align(atoms_: DataFrame, reference: DataFrame, size: int | None = None) -> DataFrame:
+    """Move indels (chrom, atom_pos, atom_ilen, atom_alt) as far left as the reference (chrom, chunk, seq of size bases) lets them, at most MOST_SHIFT.
+
+    SNVs pass by. Each indel meets the chunks that hold the MOST_SHIFT bases to its left and what it deletes, by an
+    equi-join, and takes these bases along; the rotation runs on Arrow batches.
+    """
+    size = size or reference.agg(F.max(F.length("seq"))).first()[0] or 1
+    keep = list(atoms_.columns)
+    indels = atoms_.where("atom_ilen <> 0").withColumn("__row", F.monotonically_increasing_id())
+    lo, hi = F.greatest(F.col("atom_pos") - MOST_SHIFT - 1, F.lit(0)), F.col("atom_pos") + F.greatest(-F.col("atom_ilen"), F.lit(0)) + 1
+    spread = indels.withColumns({"__lo": lo, "__hi": hi}).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__lo") / size), F.floor(F.col("__hi") / size))))
+    met = spread.join(reference.select("chrom", "chunk", "seq"), ["chrom", "chunk"], "left")
+    begin = F.greatest(F.col("__lo") - F.col("chunk") * size, F.lit(0)).cast("int")
+    part = F.substring(F.coalesce("seq", F.lit("")), begin + 1, (F.least(F.col("__hi") + 1, (F.col("chunk") + 1) * size) - F.col("chunk") * size - begin).cast("int"))
+    near = met.withColumn("__part", F.struct("chunk", part.alias("s"))).groupBy("__row").agg(*[F.first(c).alias(c) for c in keep], F.first("__lo").alias("__lo"), F.array_join(F.transform(F.array_sort(F.collect_list("__part")), lambda x: x["s"]), "").alias("__seq"))
+    windowed = near.withColumn("__at", F.col("atom_pos") - F.col("__lo")).select(*keep, "__seq", "__at")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in atoms_.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,7 +93,7 @@ def left_align(atoms_: DataFrame, reference: DataFrame) -> DataFrame:
             b["atom_alt"] = [m[1] for m in moved]
             yield b[keep]
 
-    return windowed.select(*keep, "__seq", "__at").mapInPandas(run, schema)
+    return atoms_.where("atom_ilen = 0").union(windowed.mapInPandas(run, schema))
 
 
 def aligned(seq: str | None, at: int, ilen: int, alt: str) -> tuple[int, str]:
@@ -109,6 +127,28 @@ def encode_key(ilen: str = "ilen", alt: str = "alt") -> Column:
     return F.expr(f"CASE WHEN {ilen} < 0 THEN shiftleft({ilen}, 1) WHEN length({alt}) <= 13 THEN shiftleft({ilen}, 27) | {bases} END")
 
 
+def decode_key(key: str = "key", anchor: str = "''") -> tuple[Column, Column]:
+    """(ilen, alt) of an inline key; a deletion's allele is its anchor, which the key doesn't hold."""
+    ilen = f"IF({key} & 1 = 0 AND {key} < 0, shiftright({key}, 1), shiftright({key}, 27))"
+    bases = f"array_join(transform(sequence(1, greatest({ilen}, 0) + 1), i -> substring('ACTG', (shiftright({key}, 27 - 2 * i) & 3) + 1, 1)), '')"
+    return F.expr(ilen).cast("int"), F.expr(f"IF({ilen} < 0, {anchor}, {bases})")
+
+
+def long_alleles(variants: DataFrame) -> DataFrame:
+    """(row, alt): the distinct alleles without an inline key, numbered by themselves; found again by joining on alt."""
+    from .indexing import row_index
+
+    some = variants.where(encode_key().isNull()).select("alt").distinct()
+    return row_index(some, [F.substring("alt", 1, 8)], ["alt"], "row").select("row", "alt")
+
+
+def vcf_form(variants: DataFrame, reference: DataFrame, size: int) -> DataFrame:
+    """variants (chrom, pos, ilen, alt) with ref, and alt as a VCF spells it: a deletion's REF is its anchor and the deleted bases."""
+    spelled = variants.withColumn("ref", F.repeat(F.lit("N"), F.greatest(-F.col("ilen"), F.lit(0)) + 1))
+    seen = with_sequence(spelled, reference, size).withColumn("ref", F.col("__seen")).drop("__seen")
+    return seen.withColumn("alt", F.when(F.col("ilen") < 0, F.substring("ref", 1, 1)).otherwise(F.col("alt")))
+
+
 #: Bits of the cost model: key and sidecar of a SNP and of an indel. Fixed values of the format.
 KEY_BITS = {"snp": 2, "indel": 32}
 SIDECAR_BITS = {"snp": 10, "indel": 8}
@@ -128,6 +168,11 @@ def scalar_field(values: str, source_alt: str, default: str = "NULL") -> Column:
     return F.expr(f"coalesce(CASE WHEN size({values}) = 1 THEN {values}[0] ELSE try_element_at({values}, {source_alt}) END, {default})")
 
 
+def field_range(table: DataFrame, field: str, *by: str) -> DataFrame:
+    """(by, lo, hi, missing): a numeric field's least and largest value, and whether it is missing anywhere."""
+    return table.groupBy(*by).agg(F.min(field).alias("lo"), F.max(field).alias("hi"), F.max(F.col(field).isNull()).alias("missing"))
+
+
 def narrow_type(low: str, high: str, missing: str) -> Column:
     """The narrowest integer type that holds low to high, unsigned first, one value kept back where some are missing."""
     more = f"IF({missing}, 1, 0)"

@@ -5,7 +5,12 @@ Each table is one SQL text for both engines; what differs is spelled by a dialec
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.indexing import row_index
 
 
 class Dialect:
@@ -32,8 +37,10 @@ def base(x: str, c: str = "c", shift: str = "0") -> str:
 
 
 def variants(d: Dialect) -> str:
+    """Numbered by chromosome and position; load() numbers them for Spark, without one global sort."""
     deleted = d.sequence("pos", "pos - ilen", base("x"))
-    return f"""SELECT CAST(row_number() OVER (ORDER BY chrom, pos, p_partkey) - 1 AS BIGINT) AS v_idx, p_partkey, p_size, p_retailprice, chrom, c, pos, ilen,
+    number = "" if d.spark else "CAST(row_number() OVER (ORDER BY chrom, pos, p_partkey) - 1 AS BIGINT) AS v_idx, "
+    return f"""SELECT {number}p_partkey, p_size, p_retailprice, chrom, c, pos, ilen,
   CASE WHEN ilen < 0 THEN {deleted} ELSE {base("pos")} END AS ref,
   CASE WHEN ilen < 0 THEN {base("pos")} WHEN ilen > 0 THEN {base("pos")} || substr('ACGTTGCAACGTA', CAST(1 + k % 3 AS INT), ilen) ELSE {base("pos", shift="1 + p_size % 3")} END AS alt,
   CASE WHEN pos > 1 THEN {base("pos - 1")} ELSE '' END AS five, {base("pos + 1")} AS three, pos - 1 AS v_start, pos - least(ilen, 0) AS v_end
@@ -82,11 +89,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     text = TABLES[name](SPARK)
     parts = {n: load(spark, sf_dir, n) for n in READS[name]}
-    import re
-
     for n in parts:
         text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
-    return spark.sql(text, **parts)
+    df = spark.sql(text, **parts)
+    return row_index(df, [F.col("chrom"), F.floor(F.col("pos") / 4096)], ["pos", "p_partkey"], "v_idx") if name == "variants" else df
 
 
 def oracle(body: str, *names: str) -> str:

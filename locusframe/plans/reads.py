@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cohort, genes, haplotype, intervals, mutcat, normalize, signatures
 from ..operators.indexing import row_index
 from ..runtime import ship
-from .derive import base, load, oracle
+from .derive import DUCK, base, load, oracle
 from .search import CARRIED, HIT, SWEEP, _carried, _genes
 
 QUERIES: dict = {}
@@ -47,11 +47,11 @@ def q1(spark, d):
     return cohort.dense(g).select("v_idx", F.array_join(F.col("alleles").cast("array<string>"), " ").alias("alleles"))
 
 
-@query("q4_read_ranges", f"WITH {GENO} SELECT r.q, count(*) AS cells, count(*) FILTER (allele IS NULL) AS missing, CAST(sum(allele) AS BIGINT) AS carried FROM (SELECT * FROM regions WHERE q_end - q_start <= 5) r JOIN variants v ON {HIT} JOIN geno g ON g.v_idx = v.v_idx GROUP BY r.q", "calls", "samples", "regions")
+@query("q4_read_ranges", f"WITH {GENO}, g AS (SELECT v_idx, count(*) AS cells, count(*) FILTER (allele IS NULL) AS missing, sum(allele) AS carried FROM geno GROUP BY v_idx) SELECT r.q, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(carried) AS BIGINT) AS carried FROM regions r JOIN variants v ON {HIT} JOIN g ON g.v_idx = v.v_idx GROUP BY r.q", "calls", "samples", "regions")
 def q4(spark, d):
-    r = load(spark, d, "regions").where("q_end - q_start <= 5")
-    hits = intervals.overlap_join(load(spark, d, "variants"), r).select("q", "v_idx")
-    return hits.join(_genotypes(spark, d), "v_idx").groupBy("q").agg(F.count("*").alias("cells"), F.count_if(F.col("allele").isNull()).alias("missing"), F.sum("allele").alias("carried"))
+    each = _genotypes(spark, d).groupBy("v_idx").agg(F.count("*").alias("cells"), F.count_if(F.col("allele").isNull()).alias("missing"), F.sum("allele").alias("carried"))
+    hits = intervals.overlap_join(load(spark, d, "variants"), load(spark, d, "regions")).select("q", "v_idx")
+    return hits.join(each, "v_idx").groupBy("q").agg(F.sum("cells").alias("cells"), F.sum("missing").alias("missing"), F.sum("carried").alias("carried"))
 
 
 @query("q5_chunk_ranges", f"SELECT q, chunk, count(*) AS n, min(v_idx) AS lo, max(v_idx) AS hi FROM (SELECT r.q, v.v_idx, CAST(ntile(4) OVER (PARTITION BY r.q ORDER BY v.v_idx) - 1 AS INT) AS chunk FROM variants v JOIN regions r ON {HIT}) GROUP BY q, chunk", "variants", "regions")
@@ -68,12 +68,13 @@ def q2(spark, d):
     return load(spark, d, "variants").select("chrom", F.floor((F.row_number().over(w) - 1) / 100).alias("chunk"), "v_idx")
 
 
-@query("q9_sparse_read", f"WITH {CARRIED} SELECT q, sample_id, hap, string_agg(CAST(v_idx AS VARCHAR), ',' ORDER BY v_idx) AS ids FROM carried WHERE q % 5 = 0 OR q % 5 <> 0 GROUP BY q, sample_id, hap", "calls", "regions")
-def q9(spark, d):
-    return cohort.ragged(_carried(spark, d)).select("q", "sample_id", "hap", F.array_join(F.transform("items", lambda x: x["v_idx"].cast("string")), ",").alias("ids"))
+GRID = "grid AS (SELECT r.q, s.sample_id, h.hap FROM regions r CROSS JOIN samples s CROSS JOIN (VALUES (0), (1)) h(hap))"
 
 
-ORACLES["q9_sparse_read"] = ORACLES["q9_sparse_read"].replace(" WHERE q % 5 = 0 OR q % 5 <> 0", "")
+@query("q9_sparse_read", f"WITH {CARRIED}, {GRID}, x AS (SELECT q, sample_id, hap, string_agg(CAST(v_idx AS VARCHAR), ',' ORDER BY v_idx) AS ids FROM carried GROUP BY q, sample_id, hap) SELECT q, string_agg(coalesce(ids, ''), ';' ORDER BY sample_id, hap) AS cells FROM grid LEFT JOIN x USING (q, sample_id, hap) GROUP BY q", "calls", "regions", "samples")
+def q9(spark, d):
+    items = cohort.ragged(_carried(spark, d)).select("q", "sample_id", "hap", F.array_join(F.transform("items", lambda x: x["v_idx"].cast("string")), ",").alias("v"))
+    return cohort.region_lists(items, load(spark, d, "regions"), load(spark, d, "samples"))
 
 
 @query("q13_decode", f"WITH {CARRIED} SELECT q, sample_id, hap, row_number() OVER (PARTITION BY q, sample_id, hap ORDER BY pos, ilen <> 0, ilen, CASE WHEN ilen < 0 THEN '' ELSE alt END, v_idx) - 1 AS ord, v_idx, pos - 1 AS pos, ilen, CASE WHEN ilen < 0 THEN '' ELSE alt END AS allele FROM carried", "calls", "regions")
@@ -81,15 +82,23 @@ def q13(spark, d):
     return cohort.decode(_carried(spark, d))
 
 
-@query("q14_region_counts", f"WITH {CARRIED} SELECT q, sample_id, hap, count(*) AS n FROM carried GROUP BY q, sample_id, hap", "calls", "regions")
+@query("q13_decode_cells", f"WITH {CARRIED}, {GRID}, x AS (SELECT q, sample_id, hap, string_agg((pos - 1) || ':' || ilen || ':' || CASE WHEN ilen < 0 THEN '' ELSE alt END, ',' ORDER BY pos, ilen <> 0, ilen, CASE WHEN ilen < 0 THEN '' ELSE alt END, v_idx) AS v FROM carried GROUP BY q, sample_id, hap) SELECT q, string_agg(coalesce(v, ''), ';' ORDER BY sample_id, hap) AS cells FROM grid LEFT JOIN x USING (q, sample_id, hap) GROUP BY q", "calls", "regions", "samples")
+def q13c(spark, d):
+    item = F.struct("ord", F.concat_ws(":", F.col("pos").cast("string"), F.col("ilen").cast("string"), "allele").alias("t"))
+    lists = cohort.decode(_carried(spark, d)).groupBy("q", "sample_id", "hap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ",").alias("v"))
+    return cohort.region_lists(lists, load(spark, d, "regions"), load(spark, d, "samples"))
+
+
+@query("q14_region_counts", f"WITH {CARRIED}, {GRID}, x AS (SELECT q, sample_id, hap, count(*) AS n FROM carried GROUP BY q, sample_id, hap) SELECT q, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ' ' ORDER BY sample_id, hap) AS cells FROM grid LEFT JOIN x USING (q, sample_id, hap) GROUP BY q", "calls", "regions", "samples")
 def q14(spark, d):
-    return cohort.region_counts(_carried(spark, d))
+    n = _carried(spark, d).groupBy("q", "sample_id", "hap").agg(F.count("*").cast("string").alias("v"))
+    return cohort.region_lists(n, load(spark, d, "regions"), load(spark, d, "samples"), empty="0", separator=" ")
 
 
-@query("q15_channels", f"WITH {CARRIED}, x AS (SELECT v_idx, count(*) AS x FROM calls GROUP BY v_idx) SELECT q, count(*) FILTER (x * 44 <= 244) AS var_key, count(*) FILTER (x * 44 > 244) AS dense FROM carried JOIN x USING (v_idx) GROUP BY q", "calls", "regions")
+@query("q15_channels", f"WITH {CARRIED}, x AS (SELECT v_idx, count(*) AS x FROM calls GROUP BY v_idx) SELECT q, count(*) FILTER (x * 44 <= 44 + 2 * s) AS var_key, count(*) FILTER (x * 44 > 44 + 2 * s) AS dense FROM carried JOIN x USING (v_idx) CROSS JOIN (SELECT count(*) AS s FROM samples) GROUP BY q", "calls", "regions", "samples")
 def q15(spark, d):
     x = _plain_calls(spark, d).groupBy("v_idx").agg(F.count("*").alias("x"))
-    c = _carried(spark, d).join(x.withColumn("route", normalize.route("x", "false", 100, 2, sidecar=True)), "v_idx")
+    c = _carried(spark, d).join(x.withColumn("route", normalize.route("x", "false", load(spark, d, "samples").count(), 2, sidecar=True)), "v_idx")
     return c.groupBy("q").agg(F.count_if(F.col("route") == "var_key").alias("var_key"), F.count_if(F.col("route") == "dense").alias("dense"))
 
 
@@ -116,9 +125,9 @@ def q11(spark, d):
     return haplotype.with_length(load(spark, d, "variants"), load(spark, d, "regions"), _plain_calls(spark, d))
 
 
-@query("a2_allele_frequency", "SELECT v.v_idx, count(c.v_idx) AS n, CAST(count(c.v_idx) / 200.0 AS FLOAT) AS af FROM variants v LEFT JOIN calls c ON c.v_idx = v.v_idx GROUP BY v.v_idx", "calls")
+@query("a2_allele_frequency", "SELECT v.v_idx, count(c.v_idx) AS n, CAST(count(c.v_idx) / (2.0 * (SELECT count(*) FROM samples)) AS FLOAT) AS af FROM variants v LEFT JOIN calls c ON c.v_idx = v.v_idx GROUP BY v.v_idx", "calls", "samples")
 def a2(spark, d):
-    return cohort.allele_frequency(load(spark, d, "variants"), _plain_calls(spark, d), 200)
+    return cohort.allele_frequency(load(spark, d, "variants"), _plain_calls(spark, d), 2 * load(spark, d, "samples").count())
 
 
 @query("a3_mac_subset", "SELECT c.v_idx, count(*) AS mac FROM calls c JOIN samples s ON s.sample_id = c.sample_id WHERE s.nation < 10 GROUP BY c.v_idx", "calls", "samples")
@@ -157,7 +166,17 @@ def a11(spark, d):
     return genes.annotate(load(spark, d, "variants"), load(spark, d, "cds"), level=2).fillna(-1, ["codon_pos"])
 
 
-QUERIES["m6_annotate_genes"], ORACLES["m6_annotate_genes"] = QUERIES["a11_best_rank"], ORACLES["a11_best_rank"]
+@query("m6_annotate_genes", f"WITH {BEST} SELECT v.v_idx, v.chrom, v.pos, gene_id, strand, CAST(CASE WHEN frame BETWEEN 0 AND 2 AND m.ilen = 0 THEN ((CASE WHEN strand = '-' THEN 2 ELSE 1 END * (m.pos - start - frame)) % 3 + 3) % 3 END AS INT) AS codon_pos FROM variants v LEFT JOIN (SELECT * FROM met WHERE rn = 1) m ON m.v_idx = v.v_idx", "variants", "cds")
+def m6(spark, d):
+    """Gene columns written back to a store's variants, and read from there."""
+    from ..sources import store
+    from .stored import _place
+
+    path = _place(spark, "annotated")
+    v = load(spark, d, "variants")
+    store.write(path, v, load(spark, d, "calls").select("sample_id", "hap", "v_idx", "chrom", "pos"), [])
+    store.annotate(spark, path, genes.annotate(store.Store(spark, path).variants, load(spark, d, "cds"), level=2))
+    return store.Store(spark, path).variants.select("v_idx", "chrom", "pos", "gene_id", "strand", "codon_pos")
 
 
 @query("x3_codon_pos", "SELECT v_idx, transcript_id, CAST(((CASE WHEN strand = '-' THEN 2 ELSE 1 END * (pos - start - frame)) % 3 + 3) % 3 AS INT) AS codon_pos FROM variants v JOIN cds k ON v.chrom = k.chrom AND v.pos <= k.\"end\" AND v.v_end >= k.start WHERE frame IS NOT NULL AND ilen = 0", "variants", "cds")
@@ -187,10 +206,9 @@ def w3(spark, d):
     return haplotype.doublets(load(spark, d, "calls").drop("dosage")).select("sample_id", "hap", "v_idx", "half")
 
 
-@query("w7_row_index", "SELECT v_idx, row_number() OVER (ORDER BY chrom, pos, v_idx) - 1 AS at FROM variants WHERE p_size > 5", "variants")
+@query("w7_row_index", "SELECT v_idx, row_number() OVER (ORDER BY chrom, pos, v_idx) - 1 AS at FROM variants", "variants")
 def w7(spark, d):
-    kept = load(spark, d, "variants").where("p_size > 5")
-    return row_index(kept, [F.col("chrom"), F.floor(F.col("pos") / 4096)], ["pos", "v_idx"], "at").select("v_idx", "at")
+    return row_index(load(spark, d, "variants"), [F.col("chrom"), F.floor(F.col("pos") / 4096)], ["pos", "v_idx"], "at").select("v_idx", "at")
 
 
 @query("o5_concat", "SELECT chrom, count(*) AS n, CAST(sum(v_idx) AS BIGINT) AS ids FROM calls GROUP BY chrom", "calls")
@@ -210,23 +228,22 @@ def o6(spark, d):
 
 for _mode, _cond in (("pos", "v.v_start >= r.q_start AND v.v_start < r.q_end"), ("record", "v.v_start >= r.q_start AND v.v_start < r.q_end + 1"), ("variant", "v.v_start < r.q_end AND v.v_end > r.q_start")):
 
-    @query(f"o7_slice_{_mode}", f"SELECT c.sample_id, c.hap, c.v_idx FROM calls c JOIN samples s ON s.sample_id = c.sample_id WHERE s.nation < 12 AND c.v_idx IN (SELECT v_idx FROM variants v JOIN regions r ON v.chrom = r.chrom AND {_cond} WHERE r.q_end - r.q_start < 4)", "calls", "regions", "samples")
+    @query(f"o7_slice_{_mode}", f"SELECT c.sample_id, c.hap, c.v_idx FROM calls c JOIN samples s ON s.sample_id = c.sample_id WHERE s.nation < 12 AND c.v_idx IN (SELECT v_idx FROM variants v JOIN regions r ON v.chrom = r.chrom AND {_cond})", "calls", "regions", "samples")
     def _slice(spark, d, mode=_mode):
-        r = load(spark, d, "regions").where("q_end - q_start < 4")
-        return cohort.slice_store(load(spark, d, "variants"), _plain_calls(spark, d), r, mode, load(spark, d, "samples").where("nation < 12"))
+        return cohort.slice_store(load(spark, d, "variants"), _plain_calls(spark, d), load(spark, d, "regions"), mode, load(spark, d, "samples").where("nation < 12"))
 
 
-@query("o8_slice_route", "SELECT v_idx, count(*) AS x, CASE WHEN 32 + kb + 100 + side < count(*) * (32 + kb + side) THEN 'dense' ELSE 'var_key' END AS route FROM (SELECT c.v_idx, CASE WHEN ilen <> 0 THEN 32 ELSE 2 END AS kb, CASE WHEN ilen <> 0 THEN 8 ELSE 10 END AS side FROM calls c JOIN samples s ON s.sample_id = c.sample_id WHERE s.nation < 12) GROUP BY v_idx, kb, side", "calls", "samples")
+@query("o8_slice_route", "SELECT v_idx, count(*) AS x, CASE WHEN 32 + kb + 2 * (SELECT count(*) FROM samples WHERE nation < 12) + side < count(*) * (32 + kb + side) THEN 'dense' ELSE 'var_key' END AS route FROM (SELECT c.v_idx, CASE WHEN ilen <> 0 THEN 32 ELSE 2 END AS kb, CASE WHEN ilen <> 0 THEN 8 ELSE 10 END AS side FROM calls c JOIN samples s ON s.sample_id = c.sample_id WHERE s.nation < 12) GROUP BY v_idx, kb, side", "calls", "samples")
 def o8(spark, d):
     s = load(spark, d, "samples").where("nation < 12").select("sample_id")
     x = load(spark, d, "calls").join(F.broadcast(s), "sample_id", "left_semi").groupBy("v_idx", "ilen").agg(F.count("*").alias("x"))
-    return x.select("v_idx", "x", normalize.route("x", "ilen <> 0", 50, 2, sidecar=True).alias("route"))
+    return x.select("v_idx", "x", normalize.route("x", "ilen <> 0", s.count(), 2, sidecar=True).alias("route"))
 
 
-@query("n9_route", "SELECT v.v_idx, count(c.v_idx) AS x, CASE WHEN 32 + kb + 200 + side + 16 + 32 * 100 < count(c.v_idx) * (32 + kb + side + 16 + 32) THEN 'dense' ELSE 'var_key' END AS route FROM (SELECT v_idx, CASE WHEN ilen <> 0 THEN 32 ELSE 2 END AS kb, CASE WHEN ilen <> 0 THEN 8 ELSE 10 END AS side FROM variants) v LEFT JOIN calls c ON c.v_idx = v.v_idx GROUP BY v.v_idx, kb, side", "calls")
+@query("n9_route", "SELECT v.v_idx, count(c.v_idx) AS x, CASE WHEN 32 + kb + 2 * s + side + 16 + 32 * s < count(c.v_idx) * (32 + kb + side + 16 + 32) THEN 'dense' ELSE 'var_key' END AS route FROM (SELECT v_idx, CASE WHEN ilen <> 0 THEN 32 ELSE 2 END AS kb, CASE WHEN ilen <> 0 THEN 8 ELSE 10 END AS side, (SELECT count(*) FROM samples) AS s FROM variants) v LEFT JOIN calls c ON c.v_idx = v.v_idx GROUP BY v.v_idx, kb, side, s", "calls", "samples")
 def n9(spark, d):
     v = load(spark, d, "variants").select("v_idx", "ilen").join(_plain_calls(spark, d).groupBy("v_idx").agg(F.count("*").alias("x")), "v_idx", "left").fillna(0, ["x"])
-    return v.select("v_idx", "x", normalize.route("x", "ilen <> 0", 100, 2, info_bits=16, format_bits=32, sidecar=True).alias("route"))
+    return v.select("v_idx", "x", normalize.route("x", "ilen <> 0", load(spark, d, "samples").count(), 2, info_bits=16, format_bits=32, sidecar=True).alias("route"))
 
 
 @query("n1_split", "SELECT rec, i AS source_alt, alt[i] AS alt FROM (SELECT *, unnest(range(1, len(alt) + 1)) AS i FROM records)", "records")
@@ -234,12 +251,6 @@ def n1(spark, d):
     return normalize.split_alleles(load(spark, d, "records")).select("rec", F.col("source_alt").cast("long"), "alt")
 
 
-@query("n2_atomize")
-def n2(spark, d):
-    r = normalize.split_alleles(load(spark, d, "records"))
-    return normalize.atoms(r.where(normalize.out_of_scope(F.col("alt")).isNull())).select("rec", "source_alt", "atom_pos", "atom_ilen", "atom_alt")
-
-
 def _reference(spark, d, size=1024):
     """The synthetic reference of the derived variants in chunks."""
     last = load(spark, d, "variants").groupBy("chrom", "c").agg(F.max("v_end").alias("last"))
@@ -247,22 +258,18 @@ def _reference(spark, d, size=1024):
     return chunks.withColumn("seq", F.expr(f"array_join(transform(sequence(chunk * {size} + 1, (chunk + 1) * {size}), x -> {base('x')}), '')")).select("chrom", "chunk", "seq")
 
 
-@query("n3_left_align")
-def n3(spark, d):
-    ship(spark)
-    a = load(spark, d, "variants").select("v_idx", "chrom", F.col("v_start").alias("atom_pos"), F.col("ilen").alias("atom_ilen"), F.col("alt").alias("atom_alt"))
-    return normalize.left_align(a, _reference(spark, d))
-
-
-@query("f22_ref_check", "SELECT count(*) AS n FROM variants", "variants")
+@query("f22_ref_check", "SELECT chrom, count(*) FILTER (NOT planted) AS kept, count(*) FILTER (planted) AS dropped FROM (SELECT chrom, p_partkey % 17 = 0 AS planted FROM variants) GROUP BY chrom", "variants")
 def f22(spark, d):
+    """Every seventeenth REF has its last base complemented; policy x drops just these."""
     size = 1024
-    v = load(spark, d, "variants").withColumn("chunk", F.floor(F.col("v_start") / size))
+    other = F.when(F.col("p_partkey") % 17 == 0, F.concat(F.expr("substring(ref, 1, length(ref) - 1)"), F.translate(F.expr("right(ref, 1)"), "ACGT", "TGCA"))).otherwise(F.col("ref"))
+    v = load(spark, d, "variants").withColumn("ref", other).withColumn("chunk", F.floor(F.col("v_start") / size))
     r = _reference(spark, d, size)
     two = r.alias("a").join(r.select("chrom", (F.col("chunk") - 1).alias("chunk"), F.col("seq").alias("behind")), ["chrom", "chunk"], "left")
     s = v.join(two, ["chrom", "chunk"])
     seen = F.expr(f"substring(concat(seq, coalesce(behind, '')), CAST(v_start % {size} + 1 AS INT), length(ref))")
-    return normalize.check_reference(s, seen, "x").agg(F.count("*").alias("n"))
+    kept = normalize.check_reference(s, seen, "x").groupBy("chrom").agg(F.count("*").alias("kept"))
+    return v.groupBy("chrom").agg(F.count("*").alias("n")).join(kept, "chrom", "left").select("chrom", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
 
 
 @query("j13_context", "SELECT v_idx, five, three FROM variants", "variants")
@@ -292,8 +299,12 @@ def x15(spark, d):
     return a.select("chrom", normalize.narrow_type("lo", "hi", "missing").alias("kind"))
 
 
-QUERIES["a10_field_range"] = QUERIES["x15_narrow"]
-ORACLES["a10_field_range"] = ORACLES["x15_narrow"]
+A10 = "CASE WHEN p_size % 9 = 0 AND c <> 2 THEN NULL WHEN c = 4 THEN pos * ilen ELSE p_size - 5 END"
+
+
+@query("a10_field_range", f"SELECT chrom, CAST(min(x) AS BIGINT) AS lo, CAST(max(x) AS BIGINT) AS hi, count(*) FILTER (x IS NULL) > 0 AS missing FROM (SELECT chrom, {A10} AS x FROM variants) GROUP BY chrom", "variants")
+def a10(spark, d):
+    return normalize.field_range(load(spark, d, "variants").withColumn("x", F.expr(A10).cast("long")), "x", "chrom")
 
 
 @query("x14_scalar_field", "SELECT rec, i AS source_alt, CASE WHEN len(vals) = 1 THEN vals[1] ELSE coalesce(vals[i], -1) END AS v FROM (SELECT rec, unnest(range(1, len(alt) + 1)) AS i, CASE WHEN rec % 2 = 0 THEN [rec] ELSE [rec, rec + 1] END AS vals FROM records)", "records")
@@ -330,17 +341,26 @@ def x7(spark, d):
 
 def _classified(spark, d):
     """Variants with codes; the window behind the anchor is long enough for five repeats of any unit."""
-    ship(spark)
     window = f"array_join(transform(sequence(pos + 1, pos + 6 * greatest(abs(ilen), 1) + 6), x -> {base('x')}), '')"
     return mutcat.classify(load(spark, d, "variants").withColumn("window", F.expr(window)))
 
 
-@query("x8_id83")
+_WINDOW = DUCK.sequence("pos + 1", "pos + 6 * greatest(abs(ilen), 1) + 6", base("x"))
+_COPIES = "coalesce(list_min(list_filter(range(0, 6), lambda i: substr(w, i * n + 1, n) <> u)), 6)"
+_LIKE = "coalesce(list_min(list_filter(range(1, n), lambda k: substr(w, k, 1) <> substr(u, k, 1))) - 1, n - 1)"
+ID83 = f"""unit AS (SELECT v_idx, ilen, abs(ilen) AS n, ilen < 0 AS gone, substr(CASE WHEN ilen < 0 THEN ref ELSE alt END, 2) AS u, {_WINDOW} AS w FROM variants WHERE ilen <> 0),
+runs AS (SELECT *, {_COPIES} AS k, {_LIKE} AS m, least(n, 5) AS size FROM unit),
+id83 AS (SELECT v_idx, CAST(CASE WHEN gone AND n > 1 AND k <= 1 AND m > 0 THEN 246 + CASE size WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 6 END + least(m, CASE size WHEN 5 THEN 5 ELSE size - 1 END) - 1
+  WHEN gone AND k = 0 THEN -2 WHEN n = 1 THEN 174 + CASE WHEN gone THEN 0 ELSE 12 END + CASE WHEN u IN ('C', 'G') THEN 0 ELSE 6 END + least(k - CASE WHEN gone THEN 1 ELSE 0 END, 5)
+  ELSE 198 + CASE WHEN gone THEN 0 ELSE 24 END + (size - 2) * 6 + least(k - CASE WHEN gone THEN 1 ELSE 0 END, 5) END AS INT) AS code FROM runs)"""
+
+
+@query("x8_id83", f"WITH {ID83} SELECT v_idx, code FROM id83", "variants")
 def x8(spark, d):
     return _classified(spark, d).where("ilen <> 0").select("v_idx", "code")
 
 
-@query("m1_classify")
+@query("m1_classify", f"WITH {ID83} SELECT v_idx, code FROM id83 UNION ALL SELECT v_idx, CAST({_sbs()} AS INT) AS code FROM variants WHERE ilen = 0", "variants")
 def m1(spark, d):
     return _classified(spark, d).select("v_idx", "code")
 
@@ -368,7 +388,7 @@ def m4(spark, d):
     return mutcat.matrix(mutcat.call_codes(_plain_calls(spark, d), _classified(spark, d)), "DBS78")
 
 
-@query("m4_matrix_id83")
+@query("m4_matrix_id83", f"WITH {ID83} SELECT sample_id, code, count(*) AS n FROM calls JOIN id83 USING (v_idx) WHERE code BETWEEN 174 AND 256 GROUP BY sample_id, code", "calls")
 def m4i(spark, d):
     return mutcat.matrix(mutcat.call_codes(_plain_calls(spark, d), _classified(spark, d)), "ID83")
 
@@ -414,5 +434,14 @@ def j10(spark, d):
     return book.join(counts, "code", "left").select("code", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-QUERIES["x9_codebook"] = lambda spark, d: mutcat.codebook(spark).where("kind = 'DBS78'").select("label", "code")
-ORACLES["x9_codebook"] = f"WITH {BOOK} SELECT label, CAST(code AS INT) AS code FROM book"
+#: The rule of each kind's labels, spelled in SQL but for the doublets, which are a list.
+BOOKS = f"""{BOOK}, sub(i, s) AS (VALUES (0, 'C>A'), (1, 'C>G'), (2, 'C>T'), (3, 'T>A'), (4, 'T>C'), (5, 'T>G')), b(i, x) AS (VALUES (0, 'A'), (1, 'C'), (2, 'G'), (3, 'T')),
+ sbs AS (SELECT sub.i * 16 + f.i * 4 + t.i AS o, f.x || '[' || s || ']' || t.x AS label FROM sub CROSS JOIN b f CROSS JOIN b t), st(i, z) AS (VALUES (0, 'T'), (1, 'U'), (2, 'N'), (3, 'B')), kd(i, k) AS (VALUES (0, 'Del'), (1, 'Ins')), n6 AS (SELECT unnest(range(0, 6)) AS n), sz AS (SELECT unnest(range(2, 6)) AS s),
+ ids AS (SELECT 174 + kd.i * 12 + CASE WHEN x = 'T' THEN 6 ELSE 0 END + n AS code, '1:' || k || ':' || x || ':' || n AS label FROM kd CROSS JOIN b CROSS JOIN n6 WHERE x IN ('C', 'T')
+  UNION ALL SELECT 198 + kd.i * 24 + (s - 2) * 6 + n, s || ':' || k || ':R:' || n FROM kd CROSS JOIN sz CROSS JOIN n6
+  UNION ALL SELECT 245 + CASE s WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 6 END + m, s || ':Del:M:' || m FROM sz CROSS JOIN (SELECT unnest(range(1, 6)) AS m) WHERE m <= CASE s WHEN 5 THEN 5 ELSE s - 1 END)"""
+
+
+@query("x9_codebook", f"WITH {BOOKS} SELECT 'DBS78' AS kind, label, CAST(code AS INT) AS code FROM book UNION ALL SELECT 'SBS96', label, CAST(o AS INT) FROM sbs UNION ALL SELECT 'ID83', label, CAST(code AS INT) FROM ids UNION ALL SELECT 'SBS384', z || ':' || label, CAST(257 + st.i * 96 + o AS INT) FROM st CROSS JOIN sbs UNION ALL SELECT 'SBS192', z || ':' || label, CAST(257 + st.i * 96 + o AS INT) FROM st CROSS JOIN sbs WHERE st.i < 2")
+def x9(spark, d):
+    return mutcat.codebook(spark).select("kind", "label", "code")

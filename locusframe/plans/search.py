@@ -230,10 +230,9 @@ def j9(spark, d):
     return kept.join(load(spark, d, "variants").select("v_idx", "pos"), "v_idx")
 
 
-@query("j11_semi_join", f"SELECT v_idx, sample_id, hap FROM calls WHERE v_idx IN (SELECT v.v_idx FROM variants v JOIN regions r ON {HIT} WHERE r.q_end - r.q_start < 3)", "calls", "regions")
+@query("j11_semi_join", f"SELECT v_idx, sample_id, hap FROM calls WHERE v_idx IN (SELECT v.v_idx FROM variants v JOIN regions r ON {HIT})", "calls", "regions")
 def j11(spark, d):
-    r = load(spark, d, "regions").where("q_end - q_start < 3")
-    kept = intervals.overlap_join(load(spark, d, "variants"), r).select("v_idx")
+    kept = intervals.overlap_join(load(spark, d, "variants"), load(spark, d, "regions")).select("v_idx").distinct()
     return load(spark, d, "calls").join(kept, "v_idx", "left_semi").select("v_idx", "sample_id", "hap")
 
 

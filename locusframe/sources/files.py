@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..functions.contigs import natural_order
 from ..functions.predicates import symbolic_ilen
 from ..operators.indexing import row_index
 
@@ -50,7 +51,7 @@ class Vcf:
     """A text VCF: samples and declared fields from the header, records and genotypes as DataFrames."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.rows = lines(spark, path)
+        self.rows = lines(spark, path).withColumn("rec", F.monotonically_increasing_id())  # which record a line is
         head = [r["value"] for r in self.rows.where("value LIKE '#%'").collect()]
         named = [h for h in head if h.startswith("#CHROM")]
         if not named:
@@ -61,41 +62,101 @@ class Vcf:
         self.contigs = [h.split("ID=")[1].split(",")[0].rstrip(">") for h in head if h.startswith("##contig=")]
 
     def records(self, info: list[str] | None = None, condition: Column | None = None) -> DataFrame:
-        """chrom, pos, id, ref, alt (list), qual, filter, info, ilen (list), and the asked-for INFO fields as text; condition filters them."""
+        """rec (its number in the file, with gaps), chrom, pos, id, ref, alt (list), qual, filter, info, ilen (list), and the asked-for INFO fields as text; condition filters them."""
         unknown = set(info or ()) - set(self.info)
         if unknown:
             raise ValueError(f"not declared as INFO: {sorted(unknown)}")
-        r = self.rows.where("NOT startswith(value, '#')").select(*_columns(F.col("value"), ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]))
-        r = r.select("chrom", F.col("pos").cast("long"), _dot(F.col("id")).alias("id"), F.upper("ref").alias("ref"), F.split("alt", ",").alias("alt"), _dot(F.col("qual")).cast("double").alias("qual"), _dot(F.col("filter")).alias("filter"), "info")
+        r = self.rows.where("NOT startswith(value, '#')").select("rec", *_columns(F.col("value"), ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]))
+        r = r.select("rec", "chrom", F.col("pos").cast("long"), _dot(F.col("id")).alias("id"), F.upper("ref").alias("ref"), F.split("alt", ",").alias("alt"), _dot(F.col("qual")).cast("double").alias("qual"), _dot(F.col("filter")).alias("filter"), "info")
         r = r.withColumn("ilen", symbolic_ilen())
         for name in info or []:
             r = r.withColumn(name, F.expr(f"nullif(regexp_extract(info, '(?:^|;){name}=([^;]*)', 1), '')"))
         return r if condition is None else r.where(condition)
 
+    def contig_rank(self) -> Column:
+        """Sort key of chrom: the header's order, and natural order behind it for contigs that the header doesn't declare."""
+        declared = F.array(*[F.lit(c) for c in self.contigs]) if self.contigs else F.array().cast("array<string>")
+        at = F.array_position(declared, F.col("chrom"))
+        return F.concat(F.lpad(F.when(at > 0, at).otherwise(len(self.contigs) + 1).cast("string"), 9, "0"), natural_order(F.col("chrom")))
+
     def variants(self) -> DataFrame:
-        """records numbered by contig and position (v_idx), with their extents; the first ALT counts."""
+        """records numbered by contig (in the header's order) and position (v_idx), with their extents; the first ALT counts."""
         r = self.records()
-        v = row_index(r.withColumn("__a", F.array_join("alt", ",")), [F.col("chrom"), F.floor(F.col("pos") / 65536)], ["pos", "ref", "__a"], "v_idx").drop("__a")
+        v = row_index(r.withColumn("__a", F.array_join("alt", ",")), [self.contig_rank(), F.floor(F.col("pos") / 65536)], ["pos", "ref", "__a", "rec"], "v_idx").drop("__a")
         first = F.get("ilen", F.lit(0))
         return v.withColumns({"v_start": F.col("pos") - 1, "v_end": F.col("pos") - F.least(first, F.lit(0))})
 
-    def genotypes(self, dosage: str | None = None) -> DataFrame:
-        """chrom, pos, ref, alt (text), sample_ord, sample, hap, allele (null if missing), phased, dosage."""
+    def genotypes(self, dosage: str | None = None, carried: bool = False) -> DataFrame:
+        """rec, chrom, pos, ref, alt (text), sample_ord, sample, hap, allele (null if missing), phased, dosage. carried: only cells whose
+        genotype names an ALT, chosen before cells become rows."""
         parts = F.split("value", "\t")
-        body = self.rows.where("NOT startswith(value, '#')").select(*_columns(F.col("value"), ["chrom", "pos", "id", "ref", "alt"]), F.split(F.get(parts, F.lit(8)), ":").alias("keys"), F.slice(parts, 10, max(1, len(self.samples))).alias("cells"))
-        one = body.select("chrom", F.col("pos").cast("long"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), "keys", F.posexplode("cells").alias("sample_ord", "cell"))
+        body = self.rows.where("NOT startswith(value, '#')").select("rec", *_columns(F.col("value"), ["chrom", "pos", "id", "ref", "alt"]), F.split(F.get(parts, F.lit(8)), ":").alias("keys"), F.slice(parts, 10, max(1, len(self.samples))).alias("cells"))
+        cells = F.transform("cells", lambda c, i: F.struct(i.alias("sample_ord"), c.alias("cell")))
+        if carried:  # genotypes come first in a cell, as the format asks
+            cells = F.filter(cells, lambda c: c["cell"].rlike("^[^:]*[1-9]"))
+        one = body.select("rec", "chrom", F.col("pos").cast("long"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), "keys", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
         field = lambda name: F.get(F.split("cell", ":"), F.array_position("keys", name).cast("int") - 1)
         gt = one.withColumn("gt", F.when(F.array_contains("keys", "GT"), field("GT")))
         ds = F.expr("try_cast(nullif(__ds, '.') AS FLOAT)")
         gt = gt.withColumn("__ds", F.when(F.array_contains("keys", dosage), field(dosage)) if dosage else F.lit(None).cast("string")).withColumn("dosage", ds)
         names = F.array(*[F.lit(s) for s in self.samples])
-        out = gt.select("chrom", "pos", "ref", "alt", "sample_ord", F.get(names, F.col("sample_ord")).alias("sample"), F.contains("gt", F.lit("|")).alias("phased"), "dosage", F.posexplode(F.split("gt", "[/|]")).alias("hap", "a"))
+        out = gt.select("rec", "chrom", "pos", "ref", "alt", "sample_ord", F.get(names, F.col("sample_ord")).alias("sample"), F.contains("gt", F.lit("|")).alias("phased"), "dosage", F.posexplode(F.split("gt", "[/|]")).alias("hap", "a"))
         return out.withColumn("allele", F.expr("try_cast(a AS INT)")).drop("a")
 
     def calls(self, allele: int = 1, dosage: str | None = None) -> DataFrame:
-        """Carriers of the given ALT: sample_id (ordinal), hap, v_idx, chrom, pos, dosage."""
-        v = self.variants().select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "v_idx")
-        return self.genotypes(dosage).where(F.col("allele") == allele).join(v, ["chrom", "pos", "ref", "alt"]).select(F.col("sample_ord").cast("long").alias("sample_id"), "hap", "v_idx", "chrom", "pos", "dosage")
+        """Carriers of the given ALT: sample_id (ordinal), hap, v_idx, chrom, pos, dosage. A call belongs to its own record, however many are equal."""
+        g = self.genotypes(dosage, carried=allele > 0).where(F.col("allele") == allele).select("rec", F.col("sample_ord").cast("long").alias("sample_id"), "hap", "dosage")
+        return g.join(self.variants().select("rec", "v_idx", "chrom", "pos"), "rec").select("sample_id", "hap", "v_idx", "chrom", "pos", "dosage")
+
+
+class VcfList:
+    """Text VCFs of one sample each as one cohort: the same interface as a Vcf, all files read in one scan.
+
+    Samples stand in the order of the paths; a name that two files give is an error, and so is a file with several samples.
+    """
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.paths = paths
+        order = spark.createDataFrame(list(enumerate(paths)), "sample_ord int, path string")
+        read = spark.read.text(paths).select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path")).withColumn("rec", F.monotonically_increasing_id())
+        self.rows = read.join(F.broadcast(order.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))), "path")
+        named = self.rows.where("startswith(value, '#CHROM')").select("sample_ord", F.expr("slice(split(value, '\t'), 10, 2)").alias("names")).orderBy("sample_ord").collect()  # a row for each file
+        if len(named) != len(paths) or any(len(r["names"]) != 1 for r in named):
+            raise ValueError("each file needs a header line with one sample")
+        self.samples = [r["names"][0] for r in named]
+        if len(set(self.samples)) < len(paths):
+            raise ValueError("two files give the same sample")
+        heads = self.rows.where("startswith(value, '##')").select("value").distinct().collect()
+        self.info, self.format = (sorted({h["value"].split("ID=")[1].split(",")[0] for h in heads if h["value"].startswith(f"##{k}=")}) for k in ("INFO", "FORMAT"))
+        self.contigs: list[str] = []
+
+    contig_rank, records = Vcf.contig_rank, Vcf.records
+
+    def genotypes(self, dosage: str | None = None, carried: bool = False) -> DataFrame:
+        """rec, sample_ord, hap, allele (null if missing), dosage."""
+        cols = F.split("value", "\t")
+        field = lambda name: F.get(F.split(F.get(cols, F.lit(9)), ":"), F.array_position(F.split(F.get(cols, F.lit(8)), ":"), name).cast("int") - 1)
+        g = self.rows.where("NOT startswith(value, '#')").select("rec", "sample_ord", field("GT").alias("gt"), (field(dosage).try_cast("float") if dosage else F.lit(None).cast("float")).alias("dosage"))
+        out = g.select("rec", "sample_ord", "dosage", F.posexplode(F.split("gt", "[/|]")).alias("hap", "a")).withColumn("allele", F.expr("try_cast(a AS INT)")).drop("a")
+        return out.where("allele > 0") if carried else out
+
+
+def sources(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path stands for: a folder's VCFs by name, the lines of a manifest (.txt), or itself."""
+    if path.endswith(".txt"):
+        base = path.rpartition("/")[0]
+        names = [r["value"].strip() for r in spark.read.text(path).collect()]
+        return [n if n.startswith("/") or "://" in n or not base else f"{base}/{n}" for n in names if n and not n.startswith("#")]
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if not fs.getFileStatus(at).isDirectory() or path.endswith((".vcf", ".vcf.gz")):  # a file in parts is one file
+        return [path]
+    found = sorted(f"{path.rstrip('/')}/{s.getPath().getName()}" for s in fs.listStatus(at) if s.getPath().getName().endswith((".vcf", ".vcf.gz")))
+    if not found:
+        raise FileNotFoundError(f"no VCF files in {path}")
+    return found
 
 
 def pvar(spark: SparkSession, path: str) -> DataFrame:
@@ -128,30 +189,47 @@ def psam(spark: SparkSession, path: str) -> DataFrame:
 PGEN_CODES = {2: [(0, 0), (0, 1), (1, 1), (None, None)], 1: [(1, 1), (None, None), (0, 1), (0, 0)]}
 
 
+#: Bytes of the header: two of magic, the mode; in mode 2 also the counts of variants and samples and a control byte. Fixed by the formats.
+PGEN_HEADER = {1: 3, 2: 12}
+
+
 def pgen(spark: SparkSession, path: str, samples: int) -> DataFrame:
-    """(v_idx, sample_ord, hap, allele) of a fixed-width genotype file (mode 1 or 2); variable-width files are not read."""
+    """(v_idx, sample_ord, hap, allele) of a fixed-width genotype file (mode 1 or 2); variable-width files are not read. A file is one task."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                data = np.frombuffer(content, np.uint8)
-                if bytes(data[:2]) != b"\x6c\x1b" or int(data[2]) not in PGEN_CODES:
+                head = content[:12]
+                if head[:2] != b"\x6c\x1b" or head[2] not in PGEN_HEADER:
                     raise ValueError("not a genotype file of fixed width")
-                mode = int(data[2])
-                body = data[3:] if mode == 1 else data[11 if len(data) > 11 else 3 :]
-                width = -(-samples // 4)
-                codes = np.stack([body >> s & 3 for s in (0, 2, 4, 6)], axis=1).ravel()
+                mode, width = head[2], -(-samples // 4)
+                if mode == 2 and int.from_bytes(head[7:11], "little") != samples:
+                    raise ValueError(f"the file has {int.from_bytes(head[7:11], 'little')} samples, not {samples}")
+                body = np.frombuffer(content, np.uint8, offset=PGEN_HEADER[mode])
+                if len(body) % max(1, width) or mode == 2 and len(body) != width * int.from_bytes(head[3:7], "little"):
+                    raise ValueError("the file's length isn't that of its records")
                 table = np.array([[-1 if a is None else a for a in p] for p in PGEN_CODES[mode]])
-                for at in range(0, len(body) // width, 4096):
-                    part = codes[at * width * 4 : (at + 4096) * width * 4].reshape(-1, width * 4)[:, :samples]
-                    v, s = np.indices(part.shape)
-                    for hap in (0, 1):
-                        a = table[part, hap].ravel()
-                        yield pd.DataFrame({"v_idx": v.ravel() + at, "sample_ord": s.ravel(), "hap": hap, "allele": pd.array(np.where(a < 0, None, a), dtype="Int32")})
+                step = max(1, (1 << 20) // max(1, samples))
+                for at in range(0, len(body) // max(1, width), step):
+                    part = body[at * width : (at + step) * width].reshape(-1, width)
+                    codes = np.stack([part >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(part), -1)[:, :samples]
+                    a = table[codes].ravel()
+                    yield pd.DataFrame({"v_idx": np.repeat(np.arange(at, at + len(part)), 2 * samples), "sample_ord": np.tile(np.repeat(np.arange(samples), 2), len(part)), "hap": np.tile([0, 1], samples * len(part)), "allele": pd.array(np.where(a < 0, None, a), dtype="Int32")})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "v_idx long, sample_ord long, hap int, allele int")
 
 
+def pgen_bytes(alleles: np.ndarray) -> bytes:
+    """A fixed-width genotype file (mode 2) of alleles (variants, samples, 2), -1 missing."""
+    variants, samples = alleles.shape[:2]
+    a = alleles.sum(2)
+    codes = np.where((alleles < 0).any(2), 3, a).astype(np.uint8)
+    full = np.zeros((variants, -(-samples // 4) * 4), np.uint8)
+    full[:, :samples] = codes
+    body = (full.reshape(variants, -1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(2).astype(np.uint8)
+    return b"\x6c\x1b\x02" + variants.to_bytes(4, "little") + samples.to_bytes(4, "little") + b"\x40" + body.tobytes()
+
+
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """(q, chrom, q_start, q_end) of a BED file, numbered in file order."""
     rows = lines(spark, path).withColumn("__n", F.monotonically_increasing_id()).where("NOT value RLIKE '^(#|track|browser|\\\\s*$)'")
@@ -184,19 +262,17 @@ def genes(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
     """(chrom, chunk, seq): sequences in chunks of size bases, upper case; the chunks are cut on Arrow batches of one file's lines."""
-    rows = lines(spark, path).withColumn("__n", F.monotonically_increasing_id())
-    heads = rows.where("startswith(value, '>')").select("__n", F.regexp_extract("value", "^>(\\S+)", 1).alias("chrom")).orderBy("__n").collect()
-    starts = [h["__n"] for h in heads]  # a row for each sequence
-    name = F.lit(None).cast("string")
-    for h in heads:
-        name = F.when(F.col("__n") >= h["__n"], F.lit(h["chrom"])).otherwise(name)
-    body = rows.where("NOT startswith(value, '>') AND value <> ''").withColumns({"chrom": name, "seq": F.upper(F.trim("value"))})
-    if not starts:
-        return spark.createDataFrame([], "chrom string, chunk long, seq string")
     from pyspark.sql import Window
 
-    w = Window.partitionBy("chrom").orderBy("__n")
-    placed = body.withColumn("at", F.sum(F.length("seq")).over(w) - F.length("seq"))
+    from ..operators.indexing import running_start
+    from ..operators.intervals import points_in
+
+    rows = lines(spark, path).withColumn("__n", F.monotonically_increasing_id())
+    heads = rows.where("startswith(value, '>')").select("__n", F.regexp_extract("value", "^>(\\S+)", 1).alias("name"))
+    spans = heads.select(F.lit(0).alias("chrom"), F.col("__n").alias("start"), F.lead("__n", 1, 1 << 62).over(Window.orderBy("__n")).alias("end"), "name")  # a row for each sequence
+    body = rows.where("NOT startswith(value, '>') AND value <> ''").select(F.lit(0).alias("chrom"), "__n", F.upper(F.trim("value")).alias("seq"))
+    named = points_in(body, "__n", spans, "start", "end").select(F.col("name").alias("chrom"), "__n", "seq")
+    placed = running_start(named.withColumn("__l", F.length("seq")), "chrom", "__n", "__l", "at")
     cut = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.length("seq") - 1) / size))))
     lo = F.greatest(F.col("chunk") * size - F.col("at"), F.lit(0)).cast("int")
     part = F.substring(F.col("seq"), lo + 1, F.least(F.length("seq") - lo, ((F.col("chunk") + 1) * size - F.greatest("at", F.col("chunk") * size)).cast("int")))

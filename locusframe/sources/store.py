@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.contigs import resolve
+from ..functions.contigs import natural_key, resolve
 
 VERSION = 1
 
@@ -28,15 +28,63 @@ def write(path: str, variants: DataFrame, calls: DataFrame, samples: list[str],
     fs.delete(hadoop.Path(temp), True)
     variants.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "v_idx").write.partitionBy("chrom").parquet(f"{temp}/variants")
     calls.repartitionByRange("chrom", "sample_id", "hap").sortWithinPartitions("chrom", "sample_id", "hap", "v_idx").write.partitionBy("chrom").parquet(f"{temp}/calls")
-    meta = {"version": VERSION, "samples": samples, "ploidy": ploidy, "contigs": sorted(r["chrom"] for r in variants.select("chrom").distinct().collect()), "fields": {f.name: f.dataType.simpleString() for f in calls.schema if f.name not in ("sample_id", "hap", "v_idx", "chrom", "pos")}}
+    meta = {"version": VERSION, "samples": samples, "ploidy": ploidy, "contigs": sorted((r["chrom"] for r in variants.select("chrom").distinct().collect()), key=natural_key), "fields": {f.name: f.dataType.simpleString() for f in calls.schema if f.name not in ("sample_id", "hap", "v_idx", "chrom", "pos")}}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{temp}/meta")
-    backup = hadoop.Path(f"{path.rstrip('/')}__old")
+    _swap(fs, hadoop, temp, target, f"{path.rstrip('/')}__old")
+
+
+def _swap(fs, hadoop, temp: str, target, old: str) -> None:
+    """Put temp in target's place. What was there is kept aside until the new one stands, and put back if that fails."""
+    backup = hadoop.Path(old)
     if fs.exists(target):
-        fs.rename(target, backup)
-    fs.rename(hadoop.Path(temp), target)
+        fs.delete(backup, True)  # left by a run that ended behind its swap, since the target is there
+        if not fs.rename(target, backup):
+            raise OSError(f"can't move {target} aside")
+    elif fs.exists(backup) and not fs.rename(backup, target):  # a run ended between the two renames
+        raise OSError(f"can't restore {target}")
+    elif fs.exists(target):
+        return _swap(fs, hadoop, temp, target, old)
+    if not fs.rename(hadoop.Path(temp), target):
+        if fs.exists(backup):
+            fs.rename(backup, target)
+        raise OSError(f"can't move {temp} into place")
     fs.delete(backup, True)
 
 
+def annotate(spark: SparkSession, path: str, columns: DataFrame) -> None:
+    """Write columns (v_idx, ...) back to the store's variants, replacing those of the same names; variants without a row get nulls."""
+    target, fs, hadoop = _fs(spark, f"{path.rstrip('/')}/variants")
+    old = spark.read.parquet(str(target))
+    new = old.drop(*[c for c in columns.columns if c != "v_idx"]).join(columns, "v_idx", "left")
+    temp = f"{path.rstrip('/')}/variants__writing"
+    fs.delete(hadoop.Path(temp), True)
+    new.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "v_idx").write.partitionBy("chrom").parquet(temp)
+    _swap(fs, hadoop, temp, target, f"{path.rstrip('/')}/variants__old")
+
+
+def beside(stores: list[tuple[DataFrame, DataFrame, int]]) -> tuple[DataFrame, DataFrame]:
+    """Stores (variants, calls, samples) of the same variants and other samples as one; variants that differ in number, position or allele are an error.
+
+    The first store's variants stay; each next one's samples are numbered behind those before.
+    """
+    variants, calls, shift = stores[0]
+    for v, c, n in stores[1:]:
+        a, b = (x.select("v_idx", "chrom", "pos", "ilen", "alt") for x in (variants, v))
+        both = a.withColumn("side", F.lit(1)).union(b.withColumn("side", F.lit(-1))).groupBy("v_idx", "chrom", "pos", "ilen", "alt").agg(F.sum("side").alias("side"))
+        if not both.where("side <> 0").isEmpty():
+            raise ValueError("the stores' variants differ")
+        calls = calls.unionByName(c.withColumn("sample_id", F.col("sample_id") + shift))
+        shift += n
+    return variants, calls
+
+
+def check_samples(have: list[str], want: list[str]) -> None:
+    """Samples must be the same in the same order; what differs first is told."""
+    if len(have) != len(want) or (off := [i for i, (a, b) in enumerate(zip(have, want, strict=False)) if a != b]):
+        at = off[0] if len(have) == len(want) else min(len(have), len(want))
+        raise ValueError(f"samples differ from number {at} on: {have[at : at + 1]} and {want[at : at + 1]}")
+
+
 class Store:
     """An open store: lazy variants and calls, projected to the fields asked for."""
 

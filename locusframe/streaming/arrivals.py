@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -16,13 +17,10 @@ def follow(spark: SparkSession, source: str, target: str, checkpoint: str, once:
 
     def merge(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(key)
-        try:
-            have = spark.read.schema(schema).parquet(target).select(*key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            new = new.join(have, key, "left_anti")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            contigs = [r["chrom"] for r in new.select("chrom").distinct().collect()]  # the target's other contigs are not read
+            new = new.join(spark.read.schema(schema).parquet(target).where(F.col("chrom").isin(contigs)).select(*key), key, "left_anti")
         new.write.mode("append").partitionBy("chrom").parquet(target)
 
     writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
