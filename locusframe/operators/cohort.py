@@ -60,21 +60,37 @@ def _tail(size: int) -> str:
     return f"CAST({size - 1} - IF(size(items) = 0, -1, element_at(items, -1).at) AS INT)"
 
 
-def region_counts(carried: DataFrame, regions: DataFrame, samples: DataFrame, ploidy: int = 2) -> DataFrame:
-    """(q, counts) for every region: how many variants each haplotype of each sample carries there, in order of samples, zeros included.
+def count_items(variants: DataFrame, regions: DataFrame, calls: DataFrame, samples: DataFrame, ploidy: int = 2) -> tuple[DataFrame, int]:
+    """As cells(), with the number of variants that a cell carries as v.
 
-    Only cells that have calls are shuffled; the zeros between them are filled in row by row.
+    Each variant's carriers travel as one list of cells, so a region's hits, not its calls, are shuffled; a
+    region's lists are sorted and equal cells counted row by row.
     """
-    n = carried.groupBy("q", "sample_id", "hap").agg(F.count("*").alias("v"))
-    found, size = cells(n, regions, samples, ploidy)
+    at = (F.col("sample_ord") * ploidy + F.col("hap")).cast("int")
+    lists = calls.join(ordinals(samples), "sample_id").groupBy("v_idx").agg(F.collect_list(at).alias("at"))
+    hits = intervals.overlap_join(variants.select("chrom", "v_idx", "v_start", "v_end"), regions.select("q", "chrom", "q_start", "q_end")).select("q", "v_idx")
+    met = hits.join(lists, "v_idx").groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("s"))
+    runs = "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])"
+    counted = met.withColumn("r", F.expr(runs)).withColumn("items", F.expr("transform(r, (p, j) -> named_struct('at', s[p], 'v', CAST(IF(j = size(r) - 1, size(s), r[j + 1]) - p AS BIGINT)))"))
+    none = F.array().cast(counted.schema["items"].dataType)
+    return regions.select("q").join(counted.select("q", "items"), "q", "left").withColumn("items", F.coalesce("items", none)), samples.count() * ploidy
+
+
+def region_counts(variants: DataFrame, regions: DataFrame, calls: DataFrame, samples: DataFrame, ploidy: int = 2) -> DataFrame:
+    """(q, counts) for every region: how many variants each haplotype of each sample carries there, in order of samples, zeros included."""
+    found, size = count_items(variants, regions, calls, samples, ploidy)
     filled = f"concat(flatten(transform(items, (x, i) -> concat(array_repeat(0L, {GAP}), array(x.v)))), array_repeat(0L, {_tail(size)}))"
     return found.select("q", F.expr(filled).alias("counts"))
 
 
 def region_lists(items: DataFrame, regions: DataFrame, samples: DataFrame, ploidy: int = 2, empty: str = "", separator: str = ";") -> DataFrame:
     """(q, cells) for every region: the text v of each haplotype of each sample (items: q, sample_id, hap, v), in order of samples, empty where it has none."""
-    found, size = cells(items, regions, samples, ploidy)
-    some = f"array_join(transform(items, (x, i) -> concat(repeat('{empty}{separator}', {GAP}), x.v)), '{separator}')"
+    return joined(*cells(items, regions, samples, ploidy), empty, separator)
+
+
+def joined(found: DataFrame, size: int, empty: str = "", separator: str = ";") -> DataFrame:
+    """(q, cells): the items of each region as one text, empty in the cells between them."""
+    some = f"array_join(transform(items, (x, i) -> concat(repeat('{empty}{separator}', {GAP}), CAST(x.v AS STRING))), '{separator}')"
     none = f"concat(repeat('{empty}{separator}', {size - 1}), '{empty}')"
     return found.select("q", F.expr(f"IF(size(items) = 0, {none}, concat({some}, repeat('{separator}{empty}', {_tail(size)})))").alias("cells"))
 

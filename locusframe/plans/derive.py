@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indexing import row_index
+from ..runtime import Scratch
 
 
 class Dialect:
@@ -83,10 +84,25 @@ TABLES = {"variants": variants, "calls": calls, "regions": regions, "samples": s
 READS = {"variants": ["part"], "calls": ["lineitem", "variants"], "regions": ["events", "part"], "samples": ["supplier"], "records": ["part"], "cds": ["customer", "part"]}
 
 
+#: Derived tables that are written once per session and folder, as an index or a store would be, and read by all queries.
+KEPT = ("variants", "calls")
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or one of the files."""
+    sf_dir = sf_dir.rstrip("/")
     if name not in TABLES:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in KEPT:
+        return _derived(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = Scratch(spark).keep(_derived(spark, sf_dir, name))
+    return _MADE[key]
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TABLES[name](SPARK)
     parts = {n: load(spark, sf_dir, n) for n in READS[name]}
     for n in parts:

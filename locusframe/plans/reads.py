@@ -91,8 +91,8 @@ def q13c(spark, d):
 
 @query("q14_region_counts", f"WITH {CARRIED}, {GRID}, x AS (SELECT q, sample_id, hap, count(*) AS n FROM carried GROUP BY q, sample_id, hap) SELECT q, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ' ' ORDER BY sample_id, hap) AS cells FROM grid LEFT JOIN x USING (q, sample_id, hap) GROUP BY q", "calls", "regions", "samples")
 def q14(spark, d):
-    n = _carried(spark, d).groupBy("q", "sample_id", "hap").agg(F.count("*").cast("string").alias("v"))
-    return cohort.region_lists(n, load(spark, d, "regions"), load(spark, d, "samples"), empty="0", separator=" ")
+    counted = cohort.count_items(load(spark, d, "variants"), load(spark, d, "regions"), _plain_calls(spark, d), load(spark, d, "samples"))
+    return cohort.joined(*counted, empty="0", separator=" ")
 
 
 @query("q15_channels", f"WITH {CARRIED}, x AS (SELECT v_idx, count(*) AS x FROM calls GROUP BY v_idx) SELECT q, count(*) FILTER (x * 44 <= 44 + 2 * s) AS var_key, count(*) FILTER (x * 44 > 44 + 2 * s) AS dense FROM carried JOIN x USING (v_idx) CROSS JOIN (SELECT count(*) AS s FROM samples) GROUP BY q", "calls", "regions", "samples")

@@ -327,6 +327,15 @@ def test_codon_positions(spark):
     assert got == [0, 0, 2, 1, 1, 2, None, None]
 
 
+def test_counts_have_all_cells(spark):
+    v = spark.createDataFrame([(0, "c", 5, 6), (1, "c", 7, 9), (2, "d", 1, 2)], "v_idx long, chrom string, v_start long, v_end long")
+    q = spark.createDataFrame([(0, "c", 0, 20), (1, "c", 8, 9), (2, "e", 0, 9)], "q long, chrom string, q_start long, q_end long")
+    s = spark.createDataFrame([(10,), (20,), (30,)], "sample_id long")
+    c = spark.createDataFrame([(30, 1, 0), (30, 1, 1), (10, 0, 1), (20, 0, 2)], "sample_id long, hap int, v_idx long")
+    got = {r["q"]: r["counts"] for r in cohort.region_counts(v, q, c, s).collect()}
+    assert got == {0: [1, 0, 0, 0, 0, 2], 1: [1, 0, 0, 0, 0, 1], 2: [0] * 6}
+
+
 def test_cohort_cases(spark):
     files_ = [(0, 0, "c", 5, 0, "A", "x=0", 0, 0, 0), (0, 1, "c", 5, 0, "A", "x=0b", 0, 0, 1), (1, 0, "c", 5, 0, "A", "x=1", 1, 0, 1), (1, 1, "c", 9, 1, "AT", "y=1", 1, 0, 0)]
     f = spark.createDataFrame(files_, "file_ord int, record_ord int, chrom string, pos long, ilen int, alt string, info string, sample_id int, hap int, allele int")
