@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .ranges import range_id
+from .ranges import quantiles, range_id
 
 K = 128
 SHINGLE = 5
@@ -77,20 +77,29 @@ def with_next(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     """(key, text, next_text, own columns for order) where the next row is that of the next key, and the first one's after the last.
 
     Rows are dealt to ranges of keys; each range also gets the first row of the next one, so no row is
-    needed from elsewhere. Null keys stand first; equal keys are ordered by text, nulls first.
+    needed from elsewhere. Null keys stand first; equal keys are ordered by text, nulls first. Keys that aren't
+    whole numbers are ordered as text.
     """
-    rows = docs.select(F.col(key).alias("__lf_id"), F.col(text).cast("string").alias("__lf_t")).withColumn("__lf_k", F.coalesce(F.col("__lf_id").cast("long"), F.lit(-(1 << 63))))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    found = rows.agg(F.percentile_approx("__lf_k", shares, F.lit(10_000)).alias("q"), F.min("__lf_k").alias("least")).first()
-    least = found["least"]
-    bounds = sorted({b for b in found["q"] or [] if b > least}) if parts > 1 else []  # each is a key that there is
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    order_key = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(key).alias("__lf_id"), F.col(text).cast("string").alias("__lf_t"), order_key.alias("__lf_k"))
+    if whole:
+        shares = [i / parts for i in range(1, parts)] or [0.5]
+        found = rows.agg(F.percentile_approx("__lf_k", shares, F.lit(10_000)).alias("q"), F.min("__lf_k").alias("least")).first()
+        least, some = found["least"], found["q"] or []
+    else:
+        least = rows.agg(F.min("__lf_k")).first()[0]
+        least = None if least is None else bytes(least)
+        some = quantiles([bytes(r["__lf_k"]) for r in rows.select("__lf_k").orderBy(F.xxhash64("__lf_k")).limit(32 * parts).collect()], parts)
+    bounds = sorted({b for b in some if b > least}) if parts > 1 else []  # each is a key that there is
+    spell = lambda v: f"X'{v.hex()}'" if isinstance(v, bytes) else f"{v}L" if v > -(1 << 63) else "CAST(-9223372036854775808 AS BIGINT)"
     at = range_id("__lf_k", bounds)
     last = len(bounds)
     copies = "array(named_struct('r', {at}, 's', 0))".format(at=at)
     if least is not None:
-        copies = f"CASE WHEN __lf_k = {least if least > -(1 << 63) else 'CAST(-9223372036854775808 AS BIGINT)'} THEN array(named_struct('r', {at}, 's', 0), named_struct('r', {last}, 's', 1))"
+        copies = f"CASE WHEN __lf_k = {spell(least)} THEN array(named_struct('r', {at}, 's', 0), named_struct('r', {last}, 's', 1))"
         if bounds:
-            copies += f" WHEN __lf_k IN ({', '.join(map(str, bounds))}) THEN array(named_struct('r', {at}, 's', 0), named_struct('r', {at} - 1, 's', 1))"
+            copies += f" WHEN __lf_k IN ({', '.join(map(spell, bounds))}) THEN array(named_struct('r', {at}, 's', 0), named_struct('r', {at} - 1, 's', 1))"
         copies += f" ELSE array(named_struct('r', {at}, 's', 0)) END"
     dealt = rows.withColumn("__lf_c", F.explode(F.expr(copies))).selectExpr("__lf_id", "__lf_t", "__lf_k", "__lf_c.r AS __lf_r", "__lf_c.s AS __lf_s")
     return dealt.withColumn("__lf_next", F.lead("__lf_t").over(order()))

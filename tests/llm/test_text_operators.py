@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from locusframe.llm import bpe, decontam, fingerprint, jaccard, langid, pii, quality, sharding, toxicity, urlfilter
+from locusframe.llm import bpe, decontam, fingerprint, jaccard, langid, pii, quality, ranges, sharding, toxicity, urlfilter
 from locusframe.llm.queries import URL_RULES, tokenizer_path
 from locusframe.runtime import Scratch, ship
 
@@ -124,6 +124,44 @@ def test_shards_are_even(spark, docs, none):
     check_shards(rows, 24)
 
 
+@pytest.mark.parametrize("law", ["id % 3 = 0, repeat('a hot text ', 40), concat('text ', id)", "id % 2 = 0, CAST(NULL AS STRING), repeat(CAST(id AS STRING), 30)", "id = 7, repeat('very long ', 20000), concat('t', id % 11)"])
+def test_shards_by_brute_force(spark, law):
+    """In order of shard and slot equal texts stand together, and each row's place in bytes gives its shard."""
+    frame = spark.range(1500).selectExpr("id AS doc_id", f"IF({law}) AS text").repartition(5)
+    t = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+    rows = sorted(sharding.shard(frame, 24).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert sorted(r["doc_id"] for r in rows) == list(range(1500))
+    met, last = set(), None
+    for r in rows:
+        if t[r["doc_id"]] != last:
+            last = t[r["doc_id"]]
+            assert last not in met
+            met.add(last)
+    total, before, slots = sum(r["size"] for r in rows), 0, collections.Counter()
+    for r in rows:
+        assert r["size"] == len(t[r["doc_id"]].encode()) + 8 and r["slot"] == slots[r["shard"]]
+        assert r["shard"] == min(23, int((before + r["size"] / 2) * 24 / total))
+        before, slots[r["shard"]] = before + r["size"], slots[r["shard"]] + 1
+
+
+def test_hot_keys_get_ranges_of_their_own(spark):
+    rows = spark.range(6000).selectExpr("id", "IF(id % 5 < 2, 77L, id * 9973) AS a", "id AS b", "1.0D AS load")
+    bounds = sharding.splitters(rows, 16)
+    assert 77 in bounds and 78 in bounds
+    sizes = collections.Counter(r["r"] for r in rows.selectExpr(f"{ranges.range_id('a', bounds)} AS r").collect())
+    assert sorted(sizes.values())[-1] == 2400 and sorted(sizes.values())[-2] <= 1.5 * 6000 / 16
+
+
+def test_placement_deals_groups_in_turn(spark):
+    from pyspark.sql import functions as F
+
+    for groups, parts in ((5, 8), (40, 7), (211, 211)):
+        values = ranges.placement(spark, groups, parts)
+        assert len(set(values)) == groups
+        frame = spark.createDataFrame(list(enumerate(values)), "g int, v int").withColumn("p", F.pmod(F.hash("v"), F.lit(parts)))
+        assert all(r["p"] == r["g"] % parts for r in frame.collect())
+
+
 # 3
 
 
@@ -377,6 +415,28 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.with_edits(one).first()["near_next"] == 1.0
 
 
+def test_fingerprints_of_any_ids(spark):
+    """String ids, in their order; and the query's columns recomputed from sketches of the texts."""
+    texts_ = [prose(40 + 7 * k, 60 + k) for k in range(12)] + ["", None, "a b"]
+    ids = [f"k{k:03d}" if k != 5 else None for k in range(len(texts_))]
+    frame = spark.createDataFrame(list(zip(ids, texts_, strict=True)), "doc_id string, text string").repartition(4)
+    got = {r["doc_id"]: r for r in fingerprint.with_edits(frame).collect()}
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or ""))
+    made = []
+    for place, k in enumerate(order):
+        t, n = texts_[k] or "", texts_[order[(place + 1) % len(order)]] or ""
+        made.append((ids[k], t, t[: len(t) - len(t) // 4] + n[: len(t) // 4], n))
+    plain = spark.createDataFrame(made, "id string, t string, e string, n string").select("id", *[fingerprint.sketch(c).alias(c) for c in "ten"]).collect()
+    for r in plain:
+        hexed = lambda s: "".join(f"{h & (1 << 64) - 1:016x}" for h in s)
+        x = got[r["id"]]
+        assert (x["fingerprint"], x["edited_fingerprint"]) == (hexed(r["t"]), hexed(r["e"]))
+        for a, b, near in ((r["t"], r["e"], x["near_edited"]), (r["t"], r["n"], x["near_next"])):
+            top = min((s[-1] if len(s) == fingerprint.K else 1 << 63) for s in (a, b)) if a or b else 0
+            both, either = ({h for h in f(set(a), set(b)) if h <= top} for f in (set.intersection, set.union))
+            assert near == pytest.approx(len(both) / len(either) if either else 1.0)
+
+
 def shingles(t, k=5):
     w = t.lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
