@@ -28,6 +28,8 @@ BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 19
 SHARDS = 32
 #: Blocks that one task of a shard scores; a shard of a larger language is dealt to several.
 TASK_BLOCKS = 512
+#: Languages whose two lowest orders (at most 3 MB each) are broadcast together; more languages are scored one such group after the other.
+TASK_LANGS = 64
 HELD_OUT = 5
 QUANTILE, MARGIN = 0.99, 1.25
 _FOLD: list[np.ndarray] = []
@@ -267,11 +269,23 @@ def block_postings(column: pa.Array) -> tuple[list[int], list[bytes]]:
     return have, [pack(key[o] >> 16, key[o] & 0xFFFF, n[o]) for o in (order[cuts[s] : cuts[s + 1]] for s in have)]
 
 
-def log_probabilities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def log_probabilities(docs: DataFrame, trusted: DataFrame, most: int = TASK_LANGS) -> DataFrame:
     """(id, lang, events, log_prob) of every row of docs (id, lang, text) under the model of its language, counted on trusted (lang, text)."""
-    spark = docs.sparkSession
     model = cut(model_counts(trusted))
-    shared = spark.sparkContext.broadcast(shared_tables(model))
+    langs = sorted(r["lang"] for r in model.select("lang").distinct().collect())  # a row for each language
+    if len(langs) <= most:
+        return _log_probabilities(docs, model)
+    out = None
+    for at in range(0, len(langs), most):
+        some = langs[at : at + most]
+        mine = F.col("lang").isin(some)
+        part = _log_probabilities(docs.where(mine if at else mine | ~F.col("lang").isin(langs)), model.where(mine))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _log_probabilities(docs: DataFrame, model: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(shared_tables(model))
     tasks = int(docs.count() // (BLOCK_ROWS // 2 * TASK_BLOCKS)) + 1  # a language's blocks of one shard are dealt to so many tasks
     part = F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int")
     left = postings(docs).withColumn("part", part).groupBy("lang", "shard", "part")
@@ -318,7 +332,7 @@ def trusted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]).filter(some)
 
     maybe = docs.select(F.xxhash64("id").alias("h"), "id", "lang", "text").where("id is not null").mapInArrow(run, f"id {kind}, lang string, text string")
-    return maybe.join(ids, "id", "left_semi").select("lang", "text")
+    return maybe.join(ids.hint("merge"), "id", "left_semi").select("lang", "text")  # one plan at every size: ids grow with the table
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -338,6 +352,7 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
     scored = cut(log_probabilities(rows, trusted_rows(rows, ids.join(held, "id", "left_anti"))).withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("events"))))
     limit = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
     apart = cut(scored.join(held, "id", "left_semi").select("lang", "perplexity"))
-    limits = langs.select("lang").join(apart.groupBy("lang").agg(limit), "lang", "left").crossJoin(apart.agg(limit.alias("overall"))).select("lang", F.coalesce("threshold", "overall").alias("threshold"))
-    out = scored.join(F.broadcast(limits), "lang", "left")  # a row for each language
+    overall = apart.agg(limit).first()[0]
+    limits = langs.select("lang").join(apart.groupBy("lang").agg(limit), "lang", "left").select("lang", F.coalesce("threshold", F.lit(overall).cast("double")).alias("threshold"))
+    out = scored.join(limits, "lang", "left")
     return out.select(F.col("id").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), F.col("events").alias("n_events"), "log_prob", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -234,6 +234,13 @@ def test_rare_languages_have_thresholds(spark):
     assert rows[1002]["threshold"] is None and rows[1002]["keep"]
 
 
+def test_many_languages_are_scored_in_groups(spark):
+    frame = spark.createDataFrame([(k, f"l{k % 5}", prose(30, k)) for k in range(40)], "id long, lang string, text string")
+    trusted = frame.where("id < 24 AND lang <> 'l4'").select("lang", "text")
+    one, many = (sorted((r["id"], r["lang"], r["events"], round(r["log_prob"], 9)) for r in quality.log_probabilities(frame, trusted, most).collect()) for most in (64, 2))
+    assert one == many and len(one) == 40
+
+
 def test_postings_round_trip():
     grams = np.sort(rng.integers(0, 50, 5000))
     docs = rng.integers(0, 500, 5000)
