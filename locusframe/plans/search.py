@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, *tables: str):
     return add
 
 
-BREAK = r"[\[\]]|^\.[A-Za-z]|[A-Za-z]\.$"
+BREAK = predicates.BREAKEND
 ILENS = "list_transform(alt, lambda a: CASE WHEN a LIKE '<%' OR regexp_matches(a, '{b}') THEN NULL ELSE CAST(strlen(a) - strlen(ref) AS INT) END)".replace("{b}", BREAK)
 MAG = "coalesce(abs(TRY_CAST(nullif(regexp_extract(info, '(?:^|;)SVLEN=(-?\\d+)', 1), '') AS INT)), abs(TRY_CAST(nullif(regexp_extract(info, '(?:^|;)END=(\\d+)', 1), '') AS INT) - pos))"
 SYM = f"list_transform(alt, lambda a: CASE WHEN regexp_matches(a, '{BREAK}') THEN NULL WHEN a LIKE '<%' THEN CASE WHEN regexp_matches(info, '(?:^|;)IMPRECISE(?:;|$)') THEN NULL WHEN regexp_extract(a, '^<([^:>]*)', 1) = 'DEL' THEN -{MAG} WHEN regexp_extract(a, '^<([^:>]*)', 1) IN ('INS', 'DUP') THEN {MAG} END ELSE strlen(a) - strlen(ref) END)"
