@@ -11,7 +11,7 @@ from .functions.contigs import natural_order, resolve
 from .operators import cohort, intervals
 from .sources import files
 from .sources.convert import convert
-from .sources.store import Store, concat, split, write
+from .sources.store import Store, concat, fresh, publish, split, write
 
 #: One past the last position that a region may have.
 LAST = (1 << 31) - 1
@@ -113,7 +113,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("locusframe").getOrCreate()
     if args.command == "index":
-        files.Vcf(spark, args.vcf).variants().write.mode("overwrite" if args.overwrite else "error").partitionBy("chrom").parquet(args.out)
+        if args.overwrite or not fresh(spark, args.out, args.vcf):
+            publish(files.Vcf(spark, args.vcf).variants(), args.out, True)
     elif args.command == "write":
         variants, calls, all_ = _read(spark, args)
         calls = calls if args.dosage else calls.drop("dosage")

@@ -454,3 +454,74 @@ def o1(spark, d):
     """Hits of a region in order of variants."""
     hits = intervals.overlap_join(load(spark, d, "variants"), load(spark, d, "regions")).groupBy("q").agg(F.array_sort(F.collect_list("v_idx")).alias("v"))
     return hits.select("q", F.array_join(F.col("v").cast("array<string>"), " ").alias("ids"))
+
+
+@query("s8_multi_region_fetch", f"SELECT DISTINCT v.chrom, v.pos, v.ref, v.alt FROM variants v JOIN regions r ON {HIT}", "variants", "regions")
+def s8(spark, d):
+    """Records of many regions, whose contigs are spelled without chr."""
+    r = load(spark, d, "regions").withColumn("chrom", F.expr("substr(chrom, 4)"))
+    return files.Vcf(spark, _vcf(spark, d)).fetch(r).select("chrom", "pos", "ref", F.col("alt")[0].alias("alt"))
+
+
+@query("q3_pgen_dosages", "SELECT v.v_idx, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ' ' ORDER BY s.sample_id) AS dosages FROM variants v CROSS JOIN samples s LEFT JOIN (SELECT v_idx, sample_id, count(*) AS n FROM calls GROUP BY v_idx, sample_id) c ON c.v_idx = v.v_idx AND c.sample_id = s.sample_id GROUP BY v.v_idx", "calls", "samples")
+def q3(spark, d):
+    """All variants' copies of ALT by sample, out of a genotype file."""
+    got = files.pgen_read(_pgen(spark, d)[0], "genos_phasing_dosages")
+    return got.select("v_idx", F.array_join(F.transform("dosages", lambda x: x.cast("int").cast("string")), " ").alias("dosages"))
+
+
+@query("s9_pgen_ranges", f"SELECT v.v_idx, coalesce(any_value(n), 0) AS copies FROM variants v JOIN regions r ON {HIT} LEFT JOIN (SELECT v_idx, count(*) AS n FROM calls GROUP BY v_idx) c ON c.v_idx = v.v_idx GROUP BY v.v_idx", "calls", "regions")
+def s9(spark, d):
+    """The variants of ranges, out of a genotype file."""
+    got = files.pgen_read(_pgen(spark, d)[0], "genos", load(spark, d, "regions"), load(spark, d, "variants"))
+    return got.select("v_idx", F.aggregate("alleles", F.lit(0), lambda n, a: n + a).cast("long").alias("copies"))
+
+
+@query("s23_write_pgen", "SELECT s.name, c.chrom, c.pos, count(*) AS copies FROM calls c JOIN samples s ON s.sample_id = c.sample_id GROUP BY ALL", "calls", "samples")
+def s23(spark, d):
+    """A genotype file with its variants and samples, written as a store by the command line."""
+    base_ = _pgen(spark, d)[1].removesuffix(".pgen")
+    v = load(spark, d, "variants").select("v_idx", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt").alias("value"))
+    _text(v, f"{base_}.pvar", ["#CHROM\tPOS\tID\tREF\tALT"], ["v_idx"])
+    _text(load(spark, d, "samples").select("sample_id", F.concat_ws("\t", F.lit("0"), "name").alias("value")), f"{base_}.psam", ["#FID\tIID"], ["sample_id"])
+    out = _place(spark, "store")
+    cli.main(["write", f"{base_}.pgen", out], spark)
+    s = store.Store(spark, out)
+    names = spark.createDataFrame(list(enumerate(s.samples)), "sample_id long, name string")
+    return s.calls.join(names, "sample_id").groupBy("name", "chrom", "pos").agg(F.count("*").alias("copies"))
+
+
+@query("q16_search_gather", f"SELECT r.q, count(*) AS n, CAST(sum(c.v_idx) AS BIGINT) AS ids FROM variants v JOIN regions r ON {HIT} JOIN calls c ON c.v_idx = v.v_idx GROUP BY r.q", "calls", "regions")
+def q16(spark, d):
+    """Searching and gathering as two steps: hits are written, calls are gathered by them later."""
+    hits = Scratch(spark).keep(intervals.overlap_join(load(spark, d, "variants"), load(spark, d, "regions")).select("q", "v_idx"))
+    each = load(spark, d, "calls").groupBy("v_idx").agg(F.count("*").alias("n"), F.sum("v_idx").alias("ids"))
+    return hits.join(each, "v_idx").groupBy("q").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+
+
+@query("n12_fields", "SELECT s.name, c.hap, c.chrom, c.pos, max(c.dosage) OVER (PARTITION BY c.v_idx, c.sample_id) AS dosage FROM calls c JOIN samples s ON s.sample_id = c.sample_id", "calls", "samples")
+def n12(spark, d):
+    """A FORMAT field follows its sample's calls through the conversion."""
+    c = load(spark, d, "calls").groupBy("v_idx", "sample_id").agg(F.max((F.col("hap") == 0).cast("int")).alias("a"), F.max((F.col("hap") == 1).cast("int")).alias("b"), F.max("dosage").alias("x"))
+    cell = F.concat(F.col("a").cast("string"), F.lit("|"), F.col("b").cast("string"), F.lit(":"), F.col("x").cast("string"))
+    values = c.select(F.col("v_idx").alias("q"), "sample_id", F.lit(0).alias("hap"), cell.alias("v"))
+    cells_ = cohort.region_lists(values, load(spark, d, "variants").select(F.col("v_idx").alias("q")), load(spark, d, "samples"), 1, "0|0:0", "\t").withColumnRenamed("q", "v_idx")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT:DS"), "cells")
+    head = [*HEAD, '##FORMAT=<ID=DS,Number=A,Type=Float,Description="dosage">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *_names(spark, d)])]
+    path, out = _text(load(spark, d, "variants").join(cells_, "v_idx").select(line.alias("value")), _place(spark, "f.vcf"), head), _place(spark, "fields")
+    cli.main(["write", path, out, "--dosage", "DS"], spark)
+    s = store.Store(spark, out, ["dosage"])
+    names = spark.createDataFrame(list(enumerate(s.samples)), "sample_id long, name string")
+    return s.calls.join(names, "sample_id").select("name", "hap", "chrom", "pos", F.round(F.col("dosage").cast("double"), 2).alias("dosage"))
+
+
+@query("j14_sample_alignment", "SELECT * FROM (VALUES (0, 'same'), (1, 'differ'), (2, 'differ')) t(i, found)")
+def j14(spark, d):
+    found = []
+    for i, want in enumerate((["a", "b"], ["b", "a"], ["a"])):
+        try:
+            store.check_samples(["a", "b"], want)
+            found.append((i, "same"))
+        except ValueError:
+            found.append((i, "differ"))
+    return spark.createDataFrame(found, "i int, found string")

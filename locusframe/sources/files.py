@@ -67,7 +67,7 @@ class Vcf:
         if unknown:
             raise ValueError(f"not declared as INFO: {sorted(unknown)}")
         r = self.rows.where("NOT startswith(value, '#')").select("rec", *_columns(F.col("value"), ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]))
-        r = r.select("rec", "chrom", F.col("pos").cast("long"), _dot(F.col("id")).alias("id"), F.upper("ref").alias("ref"), F.split("alt", ",").alias("alt"), _dot(F.col("qual")).cast("double").alias("qual"), _dot(F.col("filter")).alias("filter"), "info")
+        r = r.select("rec", "chrom", F.col("pos").try_cast("long").alias("pos"), _dot(F.col("id")).alias("id"), F.upper("ref").alias("ref"), F.split("alt", ",").alias("alt"), _dot(F.col("qual")).try_cast("double").alias("qual"), _dot(F.col("filter")).alias("filter"), "info")
         r = r.withColumn("ilen", symbolic_ilen())
         for name in info or []:
             r = r.withColumn(name, F.expr(f"nullif(regexp_extract(info, '(?:^|;){name}=([^;]*)', 1), '')"))
@@ -86,6 +86,16 @@ class Vcf:
         first = F.get("ilen", F.lit(0))
         return v.withColumns({"v_start": F.col("pos") - 1, "v_end": F.col("pos") - F.least(first, F.lit(0))})
 
+    def fetch(self, regions: DataFrame, info: list[str] | None = None) -> DataFrame:
+        """The records whose first ALT's extent overlaps any of the regions (q, chrom, q_start, q_end), each once; contigs in either spelling."""
+        from ..functions.contigs import canonical
+        from ..operators.intervals import overlap_join
+
+        r = self.records(info)
+        extent = r.select("rec", canonical(F.col("chrom")).alias("chrom"), (F.col("pos") - 1).alias("v_start"), (F.col("pos") - F.least(F.coalesce(F.get("ilen", F.lit(0)), F.lit(0)), F.lit(0))).alias("v_end"))
+        hit = overlap_join(extent, regions.select("q", canonical(F.col("chrom")).alias("chrom"), "q_start", "q_end")).select("rec").distinct()
+        return r.join(hit, "rec", "left_semi")
+
     def genotypes(self, dosage: str | None = None, carried: bool = False) -> DataFrame:
         """rec, chrom, pos, ref, alt (text), sample_ord, sample, hap, allele (null if missing), phased, dosage. carried: only cells whose
         genotype names an ALT, chosen before cells become rows."""
@@ -94,7 +104,7 @@ class Vcf:
         cells = F.transform("cells", lambda c, i: F.struct(i.alias("sample_ord"), c.alias("cell")))
         if carried:  # genotypes come first in a cell, as the format asks
             cells = F.filter(cells, lambda c: c["cell"].rlike("^[^:]*[1-9]"))
-        one = body.select("rec", "chrom", F.col("pos").cast("long"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), "keys", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+        one = body.select("rec", "chrom", F.col("pos").try_cast("long").alias("pos"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), "keys", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
         field = lambda name: F.get(F.split("cell", ":"), F.array_position("keys", name).cast("int") - 1)
         gt = one.withColumn("gt", F.when(F.array_contains("keys", "GT"), field("GT")))
         ds = F.expr("try_cast(nullif(__ds, '.') AS FLOAT)")
@@ -219,6 +229,28 @@ def pgen(spark: SparkSession, path: str, samples: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "v_idx long, sample_ord long, hap int, allele int")
 
 
+#: What a read of hard calls may return for each variant: alleles by haplotype (-1 missing), copies of ALT by sample (NaN missing), whether each sample's alleles are phased.
+PGEN_MODES = {"genos": ("alleles",), "dosages": ("dosages",), "genos_phasing": ("alleles", "phased"), "genos_dosages": ("alleles", "dosages"), "genos_phasing_dosages": ("alleles", "phased", "dosages")}
+
+
+def pgen_read(genotypes: DataFrame, mode: str = "genos", regions: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
+    """One row for each variant (of those that overlap regions, if given) with the mode's lists; genotypes: pgen()."""
+    from ..operators.intervals import overlap_join
+
+    if mode not in PGEN_MODES:
+        raise ValueError(f"a mode is one of {sorted(PGEN_MODES)}")
+    if regions is not None:
+        genotypes = genotypes.join(overlap_join(variants, regions).select("v_idx").distinct(), "v_idx", "left_semi")
+    cells = F.array_sort(F.collect_list(F.struct("sample_ord", "hap", F.coalesce("allele", F.lit(-1)).alias("a"))))
+    alleles = genotypes.groupBy("v_idx").agg(F.transform(cells, lambda x: x["a"]).alias("alleles"))
+    samples = "sequence(0, size(alleles) div 2 - 1)"
+    full = alleles.withColumns({
+        "dosages": F.expr(f"transform({samples}, i -> IF(alleles[CAST(2 * i AS INT)] < 0 OR alleles[CAST(2 * i + 1 AS INT)] < 0, CAST('NaN' AS FLOAT), CAST(alleles[CAST(2 * i AS INT)] + alleles[CAST(2 * i + 1 AS INT)] AS FLOAT)))"),
+        "phased": F.expr(f"transform({samples}, i -> alleles[CAST(2 * i AS INT)] = alleles[CAST(2 * i + 1 AS INT)])"),
+    })
+    return full.select("v_idx", *PGEN_MODES[mode])
+
+
 def pgen_bytes(alleles: np.ndarray) -> bytes:
     """A fixed-width genotype file (mode 2) of alleles (variants, samples, 2), -1 missing."""
     variants, samples = alleles.shape[:2]

@@ -51,6 +51,25 @@ def _swap(fs, hadoop, temp: str, target, old: str) -> None:
     fs.delete(backup, True)
 
 
+def publish(df: DataFrame, path: str, overwrite: bool = False, by: str = "chrom") -> None:
+    """Write a table beside path and rename it into place."""
+    spark = df.sparkSession
+    target, fs, hadoop = _fs(spark, path)
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    temp = f"{path.rstrip('/')}__writing"
+    fs.delete(hadoop.Path(temp), True)
+    df.write.partitionBy(by).parquet(temp)
+    _swap(fs, hadoop, temp, target, f"{path.rstrip('/')}__old")
+
+
+def fresh(spark: SparkSession, made: str, source: str) -> bool:
+    """Whether made is there and no older than its source."""
+    a, fs, _ = _fs(spark, made)
+    b, other, _ = _fs(spark, source)
+    return fs.exists(a) and fs.getFileStatus(a).getModificationTime() >= other.getFileStatus(b).getModificationTime()
+
+
 def annotate(spark: SparkSession, path: str, columns: DataFrame) -> None:
     """Write columns (v_idx, ...) back to the store's variants, replacing those of the same names; variants without a row get nulls."""
     target, fs, hadoop = _fs(spark, f"{path.rstrip('/')}/variants")

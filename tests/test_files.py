@@ -98,6 +98,54 @@ def test_fasta_of_many_sequences(spark, tmp_path):
     assert got == {f"s{k}": s for k in range(1500) if (s := "ACGT" * (k % 5) + "TT" * (k % 3))}
 
 
+def test_indexes_are_made_again_when_old(spark, vcf, tmp_path):
+    import os
+
+    from locusframe.sources.store import fresh
+
+    out = str(tmp_path / "i")
+    assert not fresh(spark, out, vcf)
+    cli.main(["index", vcf, out], spark)
+    assert fresh(spark, out, vcf) and spark.read.parquet(out).count() == 5
+    os.utime(out, (0, 0))
+    assert not fresh(spark, out, vcf)
+    cli.main(["index", vcf, out], spark)
+    assert fresh(spark, out, vcf)
+
+
+def test_file_lists(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "b.vcf").write_text(head + "bob\nc\t9\t.\tGA\tG\t.\t.\t.\tGT\t0|1\nc\t3\t.\tA\tT\t.\t.\t.\tGT\t1|1\n")
+    (tmp_path / "a.vcf").write_text(head + "ann\nc\t3\t.\tAC\tTC,<DEL>\t.\t.\t.\tGT\t1|2\n")
+    assert [p.rpartition("/")[2] for p in files.sources(spark, str(tmp_path))] == ["a.vcf", "b.vcf"]
+    (tmp_path / "list.txt").write_text("# mine\nb.vcf\na.vcf\n")
+    assert files.VcfList(spark, files.sources(spark, str(tmp_path / "list.txt"))).samples == ["bob", "ann"]
+    cli.main(["write", str(tmp_path), str(tmp_path / "s")], spark)
+    s = Store(spark, str(tmp_path / "s"))
+    assert s.samples == ["ann", "bob"]
+    assert sorted((r["v_idx"], r["pos"], r["ilen"], r["alt"]) for r in s.variants.collect()) == [(0, 3, 0, "T"), (1, 9, -1, "G")]
+    assert sorted((r["sample_id"], r["hap"], r["v_idx"]) for r in s.calls.collect()) == [(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1)]
+    with pytest.raises(Exception, match="unsupported"):
+        cli.main(["write", str(tmp_path), str(tmp_path / "t"), "--alt-policy", "error"], spark)
+    (tmp_path / "c.vcf").write_text(head + "bob\n")
+    with pytest.raises(ValueError, match="same sample"):
+        files.VcfList(spark, files.sources(spark, str(tmp_path)))
+    with pytest.raises(ValueError, match="contigs"):
+        cli.main(["view", str(tmp_path / "s"), str(tmp_path / "v"), "--regions", "zz:1-5"], spark)
+
+
+def test_conversion_checks_the_reference(spark, tmp_path):
+    (tmp_path / "r.fa").write_text(">c\nACGTTTTGCA\n")
+    body = "c\t7\t.\tTG\tTTG,T\t.\t.\t.\tGT\t1|2\nc\t2\t.\tT\tG\t.\t.\t.\tGT\t0|1\n"  # the second REF is wrong
+    (tmp_path / "a.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tann\n" + body)
+    with pytest.raises(Exception, match="differs"):
+        cli.main(["write", str(tmp_path / "a.vcf"), str(tmp_path / "e"), "--reference", str(tmp_path / "r.fa")], spark)
+    cli.main(["write", str(tmp_path / "a.vcf"), str(tmp_path / "s"), "--reference", str(tmp_path / "r.fa"), "--ref-policy", "x"], spark)
+    s = Store(spark, str(tmp_path / "s"))
+    assert sorted((r["v_idx"], r["pos"], r["ilen"], r["alt"]) for r in s.variants.collect()) == [(0, 3, 1, "GT"), (1, 7, -1, "T")]
+    assert sorted((r["hap"], r["v_idx"]) for r in s.calls.collect()) == [(0, 0), (1, 1)]
+
+
 def test_a_store_survives_a_failed_swap(spark, tmp_path):
     v = spark.createDataFrame([(0, "c", 5)], "v_idx long, chrom string, pos long")
     c = spark.createDataFrame([(0, 0, 0, "c", 5)], "sample_id long, hap int, v_idx long, chrom string, pos long")
