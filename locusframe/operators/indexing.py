@@ -41,3 +41,15 @@ def running_start(df: DataFrame, by: str, order: str, size: str, name: str, bloc
     before = sums.withColumn("__o", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     within = F.coalesce(F.sum(size).over(Window.partitionBy(by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return keyed.withColumn("__w", within).join(before, [by, "__b"]).withColumn(name, F.col("__o") + F.col("__w")).drop("__b", "__w", "__o")
+
+
+def running_max(df: DataFrame, by: str, at: str, order: list[str], value: Column, name: str, before: bool, block: int = 1 << 20) -> DataFrame:
+    """df with name: the largest value over the rows of by up to each row (before: without the row itself), in order, whose first key is at.
+
+    Blocks of at are reduced first and only they are ordered by by, so no task sees a whole group. Null where there is no value yet.
+    """
+    keyed = df.withColumns({"__b": F.floor(F.col(at) / block), "__v": value})
+    tops = keyed.groupBy(by, "__b").agg(F.max("__v").alias("__t"))
+    earlier = tops.withColumn("__e", F.max("__t").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
+    within = F.max("__v").over(Window.partitionBy(by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    return keyed.withColumn("__w", within).join(earlier, [by, "__b"]).withColumn(name, F.greatest("__w", "__e")).drop("__b", "__v", "__w", "__e")

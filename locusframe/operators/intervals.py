@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import running_max
+
 #: Bases of the narrowest bins (each next level has bins four times as wide), and regions up to which they are broadcast rather than shuffled.
 NARROWEST = 16
 BROADCAST_REGIONS = 100_000
@@ -98,16 +100,17 @@ def allele_members(alleles: DataFrame, regions: DataFrame) -> DataFrame:
 
 def merge_regions(regions: DataFrame) -> DataFrame:
     """(chrom, q_start, q_end, n): overlapping and touching regions as one, with how many went in."""
-    w = Window.partitionBy("chrom").orderBy("q_start", "q_end", "q")
-    r = regions.withColumn("__end", F.max("q_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    r = r.withColumn("__island", F.sum(F.when(F.col("__end") >= F.col("q_start"), 0).otherwise(1)).over(w))
+    order = ["q_start", "q_end", "q"]
+    r = running_max(regions, "chrom", "q_start", order, F.col("q_end"), "__end", before=True)
+    starts = F.when(F.coalesce(F.col("__end") >= F.col("q_start"), F.lit(False)), None).otherwise(F.col("q_start"))
+    r = running_max(r, "chrom", "q_start", order, starts, "__island", before=False)
     return r.groupBy("chrom", "__island").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), F.count("*").alias("n")).drop("__island")
 
 
 def overlapping_regions(regions: DataFrame) -> DataFrame:
     """The regions that start before an earlier one of their chromosome ends: what merging must be asked for."""
-    w = Window.partitionBy("chrom").orderBy("q_start", "q_end", "q").rowsBetween(Window.unboundedPreceding, -1)
-    return regions.withColumn("__end", F.max("q_end").over(w)).where("q_start < __end").drop("__end")
+    ends = running_max(regions, "chrom", "q_start", ["q_start", "q_end", "q"], F.col("q_end"), "__end", before=True)
+    return ends.where("q_start < __end").select(*regions.columns)
 
 
 def check_regions(regions: DataFrame, merge: bool) -> DataFrame:

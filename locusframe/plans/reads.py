@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cohort, genes, haplotype, intervals, mutcat, normalize, signatures
-from ..operators.indexing import row_index
+from ..operators.indexing import row_index, running_start
 from ..runtime import ship
 from .derive import DUCK, base, load, oracle
 from .search import CARRIED, HIT, SWEEP, _carried, _genes
@@ -64,8 +63,8 @@ def q5(spark, d):
 
 @query("q2_chunked_scan", "SELECT chrom, CAST(floor((row_number() OVER (PARTITION BY chrom ORDER BY v_idx) - 1) / 100) AS BIGINT) AS chunk, v_idx FROM variants", "variants")
 def q2(spark, d):
-    w = Window.partitionBy("chrom").orderBy("v_idx")
-    return load(spark, d, "variants").select("chrom", F.floor((F.row_number().over(w) - 1) / 100).alias("chunk"), "v_idx")
+    v = load(spark, d, "variants").select("chrom", "v_idx", F.lit(1).alias("one"))
+    return running_start(v, "chrom", "v_idx", "one", "before").select("chrom", F.floor(F.col("before") / 100).alias("chunk"), "v_idx")
 
 
 GRID = "grid AS (SELECT r.q, s.sample_id, h.hap FROM regions r CROSS JOIN samples s CROSS JOIN (VALUES (0), (1)) h(hap))"

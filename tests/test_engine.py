@@ -136,6 +136,26 @@ def test_regions_must_not_overlap(spark):
         intervals.check_regions(q.withColumn("q_end", F.lit(0)), merge=True)
 
 
+def test_regions_merge_across_blocks(spark):
+    """Regions of all lengths, over many blocks of positions, against a plain sweep."""
+    r = random.Random(8)
+    q = [(i, r.choice("ab"), s := r.randint(0, 30 << 20), s + r.choice([1, 50, 1 << 17, 3 << 20] if i % 20 else [5 << 20])) for i in range(60)]
+    frame = spark.createDataFrame(q, "q long, chrom string, q_start long, q_end long")
+    want, over = [], []
+    for c in "ab":
+        end, island = -1, None
+        for i, _, s, e in sorted((x for x in q if x[1] == c), key=lambda x: (x[2], x[3], x[0])):
+            over += [(i,)] if s < end else []
+            if s <= end and island:
+                island[1:] = [c, island[2], max(island[3], e), island[4] + 1]
+            else:
+                island = [0, c, s, e, 1]
+                want.append(island)
+            end = max(end, e)
+    assert rows(intervals.merge_regions(frame), "chrom", "q_start", "q_end", "n") == sorted((tuple(x[1:]) for x in want), key=str)
+    assert rows(intervals.overlapping_regions(frame), "q") == sorted(over, key=str)
+
+
 def test_strand_intervals(spark):
     g = spark.createDataFrame([("a", 0, 20, "+"), ("a", 30, 40, "+"), ("a", 25, 45, "-")], "chrom string, start long, end long, strand string")
     assert rows(intervals.strand_intervals(g), "start", "end", "value") == [(0, 20, 1), (25, 30, 2), (30, 40, 3), (40, 45, 2)]
