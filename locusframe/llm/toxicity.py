@@ -313,7 +313,11 @@ def _frequent(h: np.ndarray, least: int = 2) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Network:
-    """Learn from at most sample documents of each class among the labelled rows, their whole texts."""
+    """Learn from at most sample documents of each class among the labelled rows, their whole texts.
+
+    Labels other than 0 and 1 and rows without an id are left out, and repeated label rows count once. Of documents that share
+    text one is learned from; one labelled both ways counts as clean if it has three words, else once each way. Null texts are empty.
+    """
     rows = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     picked = None
     for y in (0, 1):  # two bounded sets of ids
@@ -326,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted) for every row's whole text; a text without words scores 0."""
+    """(key, score, predicted) for every row's whole text; a null text or one without words scores 0. Rows may repeat and ids be null: every row gives a row."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -815,6 +815,25 @@ def test_pipeline(spark, docs, tmp_path):
     assert 6 in ids and 7 not in ids and 11 not in ids and 0 not in ids
 
 
+def test_stages_with_nothing_nulls_and_repeats(spark, docs, none, tmp_path):
+    """Each stage on an empty table, and on one with null texts and ids, repeated rows and clashing names: columns stay, rows only go where they should."""
+    spark.createDataFrame([("i1", "nothing that occurs in any of these texts at all here")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, none, str(tmp_path))
+        assert empty.count() == 0, name
+        got = stage(spark, docs, str(tmp_path))
+        if name != "encode":
+            assert empty.columns == got.columns == docs.columns
+        rows = docs.count()
+        if name == "language_id":
+            letters = sum(1 for _, t in all_texts(docs) if any(c.isalpha() for c in t))
+            assert got.where("text IS NULL").count() == 0 and 0 < got.count() <= letters
+        elif name == "jaccard_join":
+            assert got.where("text IS NULL").count() == 1 and got.count() < rows
+        else:
+            assert got.count() == rows, name
+
+
 @pytest.mark.parametrize("name", ["op8_url_filter", "op9_jaccard_join", "op10_decontaminate"])
 def test_query_equals_its_sql(spark, name):
     import os
