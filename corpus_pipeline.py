@@ -1,4 +1,7 @@
-"""A corpus pipeline of five stages over documents; each stage's decisions hold for the next."""
+"""A corpus pipeline of five stages over documents; each stage's decisions hold for the next.
+
+Every stage takes null texts and ids, repeated rows and extra columns as they come; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +14,13 @@ from locusframe.runtime import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in a language that can't be told, go."""
+    """Documents without letters (null texts too), or in a language that can't be told, go; repeated rows are judged alike."""
     ship(spark)
     return langid.keep_known(docs, langid.Model.fit(docs))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of nearly equal documents (five-word shingles, Jaccard 0.8) the one with the smallest id stays."""
+    """Of each component of nearly equal documents (five-word shingles, Jaccard 0.8) the one with the smallest id stays; texts without words stay, of repeated rows one."""
     ship(spark)
     return jaccard.keep_first(docs, num=80, den=100, k=5)
 
@@ -34,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids."""
+    """The documents as token ids: a row for each row; a null text has none."""
     ship(spark)
     return bpe.encode_documents(docs, tokenizer_path()).drop("decoded")
 
