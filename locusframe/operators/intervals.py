@@ -82,8 +82,8 @@ def position_members(variants: DataFrame, regions: DataFrame, mode: str) -> Data
     if mode == "variant":
         return overlap_join(variants, regions).select("q", "v_idx")
     more = {"pos": 0, "record": 1}[mode]
-    points = variants.select("chrom", "v_idx", "v_start", (F.col("v_start") + 1).alias("v_end"))
-    return overlap_join(points, regions.withColumn("q_end", F.col("q_end") + more)).select("q", "v_idx")
+    q = regions.select("q", "chrom", F.greatest("q_start", F.lit(0)).alias("q_start"), (F.col("q_end") + more).alias("q_end")).where("q_end > q_start")
+    return points_in(variants.select("chrom", "v_idx", "v_start"), "v_start", q, "q_start", "q_end").select("q", "v_idx")
 
 
 def allele_members(alleles: DataFrame, regions: DataFrame) -> DataFrame:
@@ -136,9 +136,8 @@ def covered_contigs(variants: DataFrame, regions: DataFrame) -> DataFrame:
 
 def point_lookup(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """points (p, chrom, pos0) with the value of the disjoint interval (chrom, start, end, value) that holds each, else null."""
-    regions = points.select(F.col("p").alias("q"), "chrom", F.col("pos0").alias("q_start"), (F.col("pos0") + 1).alias("q_end"))
-    spans = intervals.select("chrom", F.col("start").alias("v_start"), F.col("end").alias("v_end"), "value")
-    return points.join(overlap_join(spans, regions).select(F.col("q").alias("p"), "value"), "p", "left")
+    found = points_in(points.select("p", "chrom", "pos0"), "pos0", intervals.select("chrom", "start", "end", "value"), "start", "end")
+    return points.join(found.select("p", "value"), "p", "left")
 
 
 def strand_intervals(genes: DataFrame) -> DataFrame:
