@@ -30,6 +30,8 @@ SHARDS = 32
 TASK_BLOCKS = 512
 #: Languages whose two lowest orders (at most 3 MB each) are broadcast together; more languages are scored one such group after the other.
 TASK_LANGS = 64
+#: Languages whose thresholds are broadcast; beyond, they are joined.
+BROADCAST_LANGS = 10_000
 HELD_OUT = 5
 QUANTILE, MARGIN = 0.99, 1.25
 _FOLD: list[np.ndarray] = []
@@ -354,5 +356,6 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str
     apart = cut(scored.join(held, "id", "left_semi").select("lang", "perplexity"))
     overall = apart.agg(limit).first()[0]
     limits = langs.select("lang").join(apart.groupBy("lang").agg(limit), "lang", "left").select("lang", F.coalesce("threshold", F.lit(overall).cast("double")).alias("threshold"))
-    out = scored.join(limits, "lang", "left")
+    limits = cut(limits)
+    out = scored.join(F.broadcast(limits) if limits.count() <= BROADCAST_LANGS else limits, "lang", "left")
     return out.select(F.col("id").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), F.col("events").alias("n_events"), "log_prob", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
