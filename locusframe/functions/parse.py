@@ -54,8 +54,8 @@ def chunk_size(samples: int, ploidy: int, fields_: int, budget: int) -> int:
 
 
 def file_kind(path: str) -> str:
-    """vcf, bcf, pgen, svar or parquet by name."""
-    for kind, ends in {"vcf": (".vcf", ".vcf.gz", ".vcf.bgz"), "bcf": (".bcf",), "pgen": (".pgen", ".pvar", ".pvar.zst", ".psam"), "svar": (".svar", ".svar2"), "parquet": (".parquet",)}.items():
+    """vcf, bcf, pgen, store or parquet by name."""
+    for kind, ends in {"vcf": (".vcf", ".vcf.gz", ".vcf.bgz"), "bcf": (".bcf",), "pgen": (".pgen", ".pvar", ".pvar.zst", ".psam"), "store": (".store",), "parquet": (".parquet",)}.items():
         if path.lower().endswith(ends):
             return kind
     raise ValueError(f"an unknown kind of file: {path}")
