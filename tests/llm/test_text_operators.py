@@ -834,6 +834,32 @@ def test_stages_with_nothing_nulls_and_repeats(spark, docs, none, tmp_path):
             assert got.count() == rows, name
 
 
+def test_stages_get_batches_of_bounded_bytes(spark, tmp_path):
+    """However long the texts, a worker behind any stage gets a few MB at once, and every row; a lower limit of the caller's stays."""
+    spark.createDataFrame([(1, "nothing that occurs in any of these texts at all here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = [prose(4000, 200 + k) for k in range(40)]
+    long = spark.createDataFrame([(k, " ".join([w] * 15), "en", "s", 0) for k, w in enumerate(words)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(limit, "64m")
+            assert stage(spark, long, str(tmp_path)).count() == 40, name
+            got = long.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in got) == 40, name
+            assert max(r["bytes"] for r in got) <= 6 << 20, name
+            spark.conf.set(limit, "1m")
+            stage(spark, long, str(tmp_path))
+            assert spark.conf.get(limit) == "1m", name
+    finally:
+        spark.conf.set(limit, before)
+
+
 @pytest.mark.parametrize("name", ["op8_url_filter", "op9_jaccard_join", "op10_decontaminate"])
 def test_query_equals_its_sql(spark, name):
     import os
