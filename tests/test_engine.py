@@ -13,6 +13,8 @@ from locusframe import catalog
 from locusframe.functions import contigs, parse, predicates
 from locusframe.operators import cohort, genes, haplotype, intervals, mutcat, normalize, signatures
 from locusframe.operators.indexing import row_index
+from locusframe.plans import derive, stored
+from locusframe.sources import files
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,6 +45,33 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got, *names) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", ["s1_vcf_genotypes", "s22_write_vcf", "n5_genotype_remap", "n10_route_policy", "n12_fields", "w4_sorted_emission"])
+def test_cohort_files_equal_the_sql(spark, duck, name, monkeypatch):
+    """Several files of several samples each, the last one smaller."""
+    monkeypatch.setattr(stored, "BATCH", 4)
+    test_query_equals_its_sql(spark, duck, name)
+
+
+def test_vcf_text_follows_the_calls(spark, monkeypatch):
+    """One file has the records of its samples only, the first one all: no line for each variant with all samples."""
+    monkeypatch.setattr(stored, "BATCH", 2)
+    texts = spark.read.text(files.sources(spark, stored._vcf(spark, DATA))).where("NOT startswith(value, '#')")
+    got = texts.agg(F.sum(F.expr("size(split(value, '\t')) - 9"))).first()[0]
+    calls, variants, samples = (derive.load(spark, DATA, t) for t in ("calls", "variants", "samples"))
+    order = {r["sample_id"]: i // 2 for i, r in enumerate(samples.orderBy("sample_id").collect())}
+    held = {(order[r["sample_id"]], r["v_idx"]) for r in calls.collect()}
+    first = {(0, i) for i in range(variants.count())}
+    assert got == 2 * len(held | first) < variants.count() * samples.count()
+
+
+@pytest.mark.parametrize("name", ["s2_vcf_records", "c1_index", "s8_multi_region_fetch"])
+def test_record_queries_write_no_genotypes(spark, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(files.Vcf, "__init__", lambda self, spark, path, old=files.Vcf.__init__: (seen.append(spark.read.text(path).agg(F.max(F.size(F.split("value", "\t")))).first()[0]), old(self, spark, path))[1])
+    catalog.QUERIES[name](spark, DATA)
+    assert seen == [8]
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
