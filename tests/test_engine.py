@@ -134,6 +134,41 @@ def test_overlap_join_is_brute_force(spark):
     assert rows(intervals.overlap_join(variants, regions), "q", "v_idx") == sorted(want, key=str)
 
 
+def test_gathered_is_the_overlap_join(spark):
+    """Variants and regions of all lengths, longer than the widest tiles too, empty and negative ones, with and without those that meet nothing."""
+    r = random.Random(8)
+    v = [(i, f"c{r.randint(1, 2)}", s := r.randint(0, 300_000), s + int(10 ** r.uniform(0, 5.3)), [i, -i]) for i in range(120)]
+    q = [(i, f"c{r.randint(1, 3)}", s := r.randint(-50, 300_000), s + int(10 ** r.uniform(0, 5.5)) - 3) for i in range(150)] + [(200, "c1", -9, 500), (201, "c1", 7, 7), (202, "c2", 0, 1 << 20)]
+    variants = spark.createDataFrame(v, "v_idx long, chrom string, v_start long, v_end long, cells array<int>")
+    regions = spark.createDataFrame(q, "q long, chrom string, q_start long, q_end long")
+    want = {a: [(b, c) for b, vc, x, y, c in v if qc == vc and e > max(s, 0) and x < e and y > max(s, 0)] for a, qc, s, e in q}
+    got = {x["q"]: [(h["v_idx"], h["cells"]) for h in x["hits"]] for x in intervals.gathered(variants, regions, ["cells"], outer=True).collect()}
+    assert got == want
+    some = {x["q"]: [(h["v_idx"], h["cells"]) for h in x["hits"]] for x in intervals.gathered(variants, regions, ["cells"]).collect()}
+    assert some == {a: h for a, h in want.items() if h}
+
+
+@pytest.mark.parametrize("name", ["j4_carriers", "j4_range_carriers", "q13_decode", "q14_region_counts", "q9_sparse_read", "q13_decode_cells", "q5_chunk_ranges", "q11_with_length"])
+def test_pairs_of_regions_and_carriers_are_not_shuffled(spark, name):
+    """Above the join of a tile's regions and variants nothing is exchanged, sorted or put into a window."""
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("SortMergeJoin")[0]
+    assert "SortMergeJoin" in plan and not any(x in above for x in ("Exchange", "Sort ", "Window", "Aggregate"))
+
+
+def test_a_walk_is_over_when_its_bases_are_enough(spark, monkeypatch):
+    """A haplotype without a variant behind the region needs no second round, however far its contig goes on."""
+    from locusframe import runtime
+
+    rounds = []
+    monkeypatch.setattr(runtime, "cut", lambda df, old=runtime.cut: (rounds.append(1), old(df))[1])
+    variants = spark.createDataFrame([(0, "c", 11, 0, 10, 11), (1, "c", 13, -2, 12, 15), (2, "c", 1_000_000, 0, 999_999, 1_000_000)], "v_idx long, chrom string, pos long, ilen int, v_start long, v_end long")
+    regions = spark.createDataFrame([(0, "c", 9, 20)], "q long, chrom string, q_start long, q_end long")
+    calls = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1)], "sample_id long, hap int, v_idx long")
+    assert rows(haplotype.with_length(variants, regions, calls), "sample_id", "hap", "v_idx") == [(0, 0, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1)]
+    assert len(rounds) == 1
+
+
 def test_overlap_join_tries_few_pairs_on_dense_data(spark):
     """All positions within a few thousand bases, extents from 1 to the whole contig: pairs that are tried stay near those that overlap."""
     r = random.Random(4)
