@@ -169,6 +169,20 @@ def test_a_walk_is_over_when_its_bases_are_enough(spark, monkeypatch):
     assert len(rounds) == 1
 
 
+@pytest.mark.parametrize("name", ["q1_dense_read", "q4_read_ranges", "w2_dense2sparse"])
+def test_no_grid_of_variants_and_samples(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "explode([0,1])" not in plan  # the two haplotypes of every sample at every variant
+
+
+def test_dense_text(spark):
+    ids = np.array([3, 8, 9, 20])
+    at = {0: [], 1: [0, 3, 7], 2: [4, 4, 5], 13: [0, 1, 2, 3, 4, 5, 6, 7]}
+    df = spark.createDataFrame(list(at.items()), "v_idx long, at array<int>")
+    want = {v: " ".join("1" if 2 * i + h in c else "-1" if (v + s) % 11 == 0 else "0" for i, s in enumerate(ids) for h in (0, 1)) for v, c in at.items()}
+    assert {r["v_idx"]: r["alleles"] for r in cohort.dense_text(df, ids, 11).collect()} == want
+
+
 def test_overlap_join_tries_few_pairs_on_dense_data(spark):
     """All positions within a few thousand bases, extents from 1 to the whole contig: pairs that are tried stay near those that overlap."""
     r = random.Random(4)
