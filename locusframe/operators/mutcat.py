@@ -112,12 +112,20 @@ def classify(variants: DataFrame) -> DataFrame:
     return both.withColumn("code", code.cast("int")).drop("__dbs")
 
 
+#: Calls that a task of call_codes() sorts, about.
+ROWS = 1_000_000
+
+
 def call_codes(calls: DataFrame, classified: DataFrame) -> DataFrame:
-    """Calls (sample_id, hap, v_idx) with chrom, pos, and the code that counts: neighbouring SNVs become one doublet, whose second half is PARTNER."""
-    full = calls.join(classified.select("v_idx", "chrom", "pos", "ilen", "ref", "alt", "code"), "v_idx")
-    halves = doublets(full)
-    mates = classified.select(F.col("v_idx").alias("mate"), F.col("ref").alias("__r"), F.col("alt").alias("__a"))
-    joined = halves.join(mates, "mate", "left")
+    """Calls (sample_id, hap, v_idx) with chrom, pos, and the code that counts: neighbouring SNVs become one doublet, whose second half is PARTNER.
+
+    The other half's bases come from the same window, not by a join in which all calls without one would have the same key. A task gets
+    some ROWS calls, however many there are.
+    """
+    rows = -(-calls.count() // ROWS)
+    parts = rows if rows > int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    full = (calls.repartition(parts, "v_idx") if parts else calls).join(classified.select("v_idx", "chrom", "pos", "ilen", "ref", "alt", "code"), "v_idx")
+    joined = doublets(full, ["ref", "alt"], parts).withColumnsRenamed({"mate_ref": "__r", "mate_alt": "__a"})
     pair = F.when(F.col("half") == 5, F.concat("ref", "__r")).when(F.col("half") == 3, F.concat("__r", "ref"))
     pair_alt = F.when(F.col("half") == 5, F.concat("alt", "__a")).when(F.col("half") == 3, F.concat("__a", "alt"))
     coded = dbs78(joined.withColumns({"__pr": pair, "__pa": pair_alt}), "__pr", "__pa", "__dbs")
