@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,20 +72,26 @@ def refit(table: np.ndarray, counts: np.ndarray, gain: float = 0.01, least: floa
 
 
 def assign(matrix: DataFrame, signatures: DataFrame, gain: float = 0.01, least: float = 0.05) -> DataFrame:
-    """(sample_id, signature, activity, cosine) from counts (sample_id, code, n) and signatures (signature, code, weight): a group is one sample's catalogue, at most a few hundred rows."""
+    """(sample_id, signature, activity, cosine) from counts (sample_id, code, n) and signatures (signature, code, weight): one row for each sample's catalogue, at most a few hundred counts; a batch of samples is one call of Python."""
     book = signatures.toPandas().pivot(index="code", columns="signature", values="weight").sort_index()
     if book.isna().any().any():
         raise ValueError("a signature lacks some codes")
     shared = matrix.sparkSession.sparkContext.broadcast((book.index.to_numpy(), list(book.columns), book.to_numpy()))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, names, table = shared.value
-        counts = pdf.groupby("code")["n"].sum().reindex(codes, fill_value=0).to_numpy(float)
-        h, c = refit(table, counts, gain, least)
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "signature": names, "activity": h, "cosine": c})
+        for b in batches:
+            of, rows = b["counts"].offsets.to_numpy(), b["counts"].values
+            code, n = rows.field("code").to_numpy(zero_copy_only=False), rows.field("n").to_numpy(zero_copy_only=False).astype(float)
+            at = np.searchsorted(codes, code).clip(max=len(codes) - 1)
+            n = np.where(codes[at] == code, n, 0.0)  # codes that no signature has don't count
+            found = [refit(table, np.bincount(at[i:j], n[i:j], len(codes)), gain, least) for i, j in zip(of[:-1], of[1:], strict=True)]
+            k = len(names)
+            yield pa.RecordBatch.from_arrays([b["sample_id"].take(pa.array(np.repeat(np.arange(len(b)), k))), pa.array(names * len(b), pa.string()), pa.array(np.concatenate([h for h, _ in found]) if found else np.empty(0)), pa.array(np.repeat([c for _, c in found], k).astype(float))], ["sample_id", "signature", "activity", "cosine"])
 
     kind = matrix.schema["sample_id"].dataType.simpleString()
-    return matrix.select("sample_id", "code", "n").groupBy("sample_id").applyInPandas(one, f"sample_id {kind}, signature string, activity double, cosine double")
+    lists = matrix.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("code").cast("long").alias("code"), F.col("n").cast("double").alias("n"))).alias("counts"))
+    return lists.mapInArrow(fitted, f"sample_id {kind}, signature string, activity double, cosine double")
 
 
 def cosine_of(df: DataFrame, a: str, b: str, name: str) -> DataFrame:

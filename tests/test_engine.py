@@ -183,6 +183,23 @@ def test_dense_text(spark):
     assert {r["v_idx"]: r["alleles"] for r in cohort.dense_text(df, ids, 11).collect()} == want
 
 
+def test_calls_without_a_mate_are_not_joined_by_it(spark):
+    """One join of calls with their variants, none by the other half, which most calls lack; and many small tasks give the same codes."""
+    plan = catalog.QUERIES["a6_matrix_allele"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mate" not in plan.replace("mate_", "") or not any("mate#" in line for line in plan.split("\n") if "Join" in line)
+    want = rows(catalog.QUERIES["m2_annotate_calls"](spark, DATA), "sample_id", "hap", "v_idx", "code")
+    before, mutcat.ROWS = mutcat.ROWS, 100
+    try:
+        assert rows(catalog.QUERIES["m2_annotate_calls"](spark, DATA), "sample_id", "hap", "v_idx", "code") == want
+    finally:
+        mutcat.ROWS = before
+
+
+def test_refit_calls_python_by_batches(spark):
+    plan = catalog.QUERIES["w6_refit"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
 def test_overlap_join_tries_few_pairs_on_dense_data(spark):
     """All positions within a few thousand bases, extents from 1 to the whole contig: pairs that are tried stay near those that overlap."""
     r = random.Random(4)
